@@ -77,6 +77,11 @@ def parse_time(text: Column) -> Column:
 UNKNOWN_MARKERS = ["unknown", "undefined", "n/a"]
 
 
+def strip(text: Column) -> Column:
+    """Remove blanks, tabs and line ends on both sides."""
+    return F.trim(text, F.lit(" \t\n\r\f\v"))
+
+
 def strict_long(text: Column) -> Column:
     return text.try_cast("bigint")
 

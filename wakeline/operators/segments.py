@@ -22,9 +22,19 @@ HOLD_US = S.PORT_CALL_SEC * MICROS
 # A slow run is cut at most every half hour, so a walk over the cuts of one day ends within this many steps.
 STEPS_PER_DAY = 86_400 // S.PORT_CALL_SEC + 1
 
-_DAY = Window.partitionBy("mmsi", "_day").orderBy("_us")
-_DAY_SO_FAR = _DAY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_EARLIER_DAYS = Window.partitionBy("mmsi").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _in_day():
+    return Window.partitionBy("mmsi", "_day").orderBy("_us")
+
+
+def _in_day_so_far():
+    return _in_day().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _over_days():
+    """Along a vessel's days, on data with one small row per vessel and day."""
+    return Window.partitionBy("mmsi").orderBy("_day")
 
 
 def segment_points(points: DataFrame) -> DataFrame:
@@ -55,11 +65,10 @@ def _flag_gaps_and_status(points: DataFrame) -> DataFrame:
         .withColumn("_slow", F.coalesce(F.col("sog") < F.lit(S.PORT_CALL_SOG).cast("float"), F.lit(False)))
     )
     here = F.struct("_us", "_still", "_slow", "lon", "lat")
-    previous_day = Window.partitionBy("mmsi").orderBy("_day")
     carried = (
         rows.groupBy("mmsi", "_day")
         .agg(F.max_by(here, F.col("_us")).alias("_last"))
-        .select("mmsi", "_day", F.lag("_last").over(previous_day).alias("_carried"))
+        .select("mmsi", "_day", F.lag("_last").over(_over_days()).alias("_carried"))
     )
     first = F.col("_prev").isNull()
     gap = floor_div(F.col("_us") - F.col("_prev._us"), MICROS) > S.GAP_SEC
@@ -67,7 +76,7 @@ def _flag_gaps_and_status(points: DataFrame) -> DataFrame:
     split = first | F.col("gap_cut") | F.col("status_cut")
     return (
         rows.join(carried, ["mmsi", "_day"])
-        .withColumn("_prev", F.coalesce(F.lag(here).over(_DAY), F.col("_carried")))
+        .withColumn("_prev", F.coalesce(F.lag(here).over(_in_day()), F.col("_carried")))
         .withColumn("gap_cut", F.coalesce(gap, F.lit(False)))
         .withColumn("status_cut", F.coalesce(status & ~F.col("gap_cut"), F.lit(False)))
         .withColumn("_split", split)
@@ -107,7 +116,7 @@ def _slow_pieces(flagged: DataFrame) -> DataFrame:
     within_hold = F.count("*").over(piece.rangeBetween(Window.unboundedPreceding, HOLD_US - 1))
     slow = (
         flagged.select("mmsi", "_day", "_us", "_slow", "_run_begins")
-        .withColumn("_run", F.sum(F.col("_run_begins").cast("int")).over(_DAY_SO_FAR))
+        .withColumn("_run", F.sum(F.col("_run_begins").cast("int")).over(_in_day_so_far()))
         .filter("_slow")
     )
     numbered = slow.withColumn("next", F.greatest(within_hold + 1, place + (S.PORT_CALL_POINTS - 1)).cast("int") + 1)
@@ -227,14 +236,15 @@ def _cuts_of_piece(pts: Column, open_count: Column) -> Column:
 
 def _carry_segment_start(rows: DataFrame) -> DataFrame:
     begin = F.when(F.col("_begins"), F.col("_us"))
+    earlier = _over_days().rowsBetween(Window.unboundedPreceding, -1)
     by_day = rows.groupBy("mmsi", "_day").agg(F.max(begin).alias("_day_begin"))
     carried = by_day.select(
-        "mmsi", "_day", F.last("_day_begin", ignorenulls=True).over(_EARLIER_DAYS).alias("_carried_begin")
+        "mmsi", "_day", F.last("_day_begin", ignorenulls=True).over(earlier).alias("_carried_begin")
     )
     leg = haversine_nm(F.col("_prev.lat"), F.col("_prev.lon"), F.col("lat"), F.col("lon"))
-    in_day = F.last(begin, ignorenulls=True).over(_DAY_SO_FAR)
+    newest_begin = F.last(begin, ignorenulls=True).over(_in_day_so_far())
     return (
-        rows.withColumn("_in_day", in_day)
+        rows.withColumn("_in_day", newest_begin)
         .join(carried, ["mmsi", "_day"])
         .withColumn("segment_start", from_micros(F.coalesce("_in_day", "_carried_begin")))
         .withColumn("leg_nm", F.when(F.col("_begins"), 0.0).otherwise(leg))

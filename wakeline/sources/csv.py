@@ -80,7 +80,7 @@ def read_csv_archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         place = resolve(fields)
         if place is not None:
             layout = ", ".join(f"c{i} string" for i in range(len(fields)))
-            rows = lines.filter(F.col("seq.file").isin(files) & (F.col("seq.row") > 0) & (F.trim("value") != ""))
+            rows = lines.filter(F.col("seq.file").isin(files) & (F.col("seq.row") > 0) & (X.strip(F.col("value")) != ""))
             raw = rows.select(F.from_csv("value", layout, OPTIONS).alias("_r"), "seq").select("_r.*", "seq")
             scans.append(parse(raw, place, F.col("seq")))
     return _union(spark, scans)
@@ -101,7 +101,7 @@ def parse(raw: DataFrame, place: dict[str, int], order: Column) -> DataFrame:
         if field not in place:
             return F.lit("")
         # A short row reads as if its missing cells were empty.
-        return F.coalesce(F.trim(F.col(f"c{place[field]}")), F.lit(""))
+        return F.coalesce(X.strip(F.col(f"c{place[field]}")), F.lit(""))
 
     def number(field: str) -> Column:
         return X.lenient_float(cell(field))

@@ -36,7 +36,7 @@ def sentence_fields(lines: DataFrame, fallback: str | None = None) -> DataFrame:
     ``fallback`` is the UTC time of sentences without a tag block time. Comments, blank lines, other
     sentences and lines with too few or non-numeric fields are left out.
     """
-    line = F.trim(F.col("value"))
+    line = X.strip(F.col("value"))
     tagged = lines.withColumn("_line", line).withColumn("_tags", F.regexp_extract("_line", TAG_BLOCK_LINE, 1))
     bare = F.regexp_extract("_line", TAG_BLOCK_LINE, 2)
     sentence = F.when(bare != "", bare).otherwise(F.col("_line"))
@@ -51,7 +51,7 @@ def sentence_fields(lines: DataFrame, fallback: str | None = None) -> DataFrame:
     )
 
     def field(i: int) -> Column:
-        return F.trim(F.get("_f", F.lit(i)))
+        return X.strip(F.get("_f", F.lit(i)))
 
     return fields.select(
         field(1).try_cast("int").alias("total"),
