@@ -106,14 +106,13 @@ def _text_bits(text: Column, chars: int) -> Column:
 
 def armour(bits: Column) -> Column:
     """Bit text to payload characters; the last character is filled up with zero bits."""
-    count = F.ceil(F.length(bits) / 6).cast("int")
-    padded = F.rpad(bits, count * 6, F.lit("0"))
+    groups = F.regexp_extract_all(F.concat(bits, F.lit("00000")), F.lit("[01]{6}"), F.lit(0))
 
-    def one(i: Column) -> Column:
-        value = F.conv(F.substring(padded, i * 6 + 1, F.lit(6)), 2, 10).cast("int")
+    def one(group: Column) -> Column:
+        value = F.conv(group, 2, 10).cast("int")
         return F.char(F.when(value < 40, value + 48).otherwise(value + 56))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), one), "")
+    return F.array_join(F.transform(groups, one), "")
 
 
 def _position_bits() -> Column:

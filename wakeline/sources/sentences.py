@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wakeline import schema as S
 from wakeline.functions import payload as P
 from wakeline.functions import scalars as X
+from wakeline.session import stage
 from wakeline.sources.files import archive_lines, text_lines
 
 # A line with a leading tag block, and the epoch inside the block.
@@ -73,12 +74,14 @@ def assemble(sentences: DataFrame, file: Column | None = None, block: Column | N
     must grow with ``seq`` and bounds how many rows are ordered together.
     """
     single = sentences.filter("total = 1").select("payload", "ts", "seq")
-    parts = sentences.filter("total <> 1 and total >= 0 and num >= 1").withColumns(
+    multi = sentences.filter("total <> 1 and total >= 0 and num >= 1").withColumns(
         {
             "_file": F.col("seq.file") if file is None else file,
             "_block": F.col("seq.block") if block is None else block,
         }
     )
+    # Few of a log's lines, used several times below: staged, so that the log is not read again each time.
+    parts = stage(multi, "parts")
     grouped = _join_to_group(parts).filter("num <= _group.total")
     group = ["_file", "key", "_group"]
 
