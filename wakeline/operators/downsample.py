@@ -22,6 +22,8 @@ from wakeline.functions.scalars import MICROS, floor_div, micros
 
 # Length of a stretch: at most 21,600 rows at one row per second.
 STRETCH_US = 6 * 3600 * MICROS
+# Rows folded at a time when a stretch picks its rows.
+BLOCK = 48
 # "Nothing kept yet", far below any real time but safe to add an interval to.
 NEVER = -(2**62)
 
@@ -74,13 +76,32 @@ def _entry_times(stretches: DataFrame, interval: int) -> DataFrame:
 
 
 def _pick(rows: Column, entry: Column, interval: int) -> Column:
-    start = F.struct(entry.alias("last"), F.slice(rows, 1, 0).alias("kept"))
+    """Array of the rows kept, given the last time kept before them.
 
-    def step(acc: Column, r: Column) -> Column:
+    Appending to an array copies it, so the fold works on short blocks and joins their results at the end.
+    """
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")),
+        lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)),
+    )
+    nothing = F.slice(rows, 1, 0)
+
+    def keep(acc: Column, r: Column) -> Column:
         taken = F.struct(r["_us"].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept"))
         return F.when(r["_us"] >= acc["last"] + interval, taken).otherwise(acc)
 
-    return F.aggregate(rows, start, step, lambda acc: acc["kept"])
+    def add_block(acc: Column, block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(acc["last"].alias("last"), nothing.alias("kept")),
+            keep,
+            lambda own: F.struct(
+                own["last"].alias("last"), F.concat(acc["kept"], F.array(own["kept"])).alias("kept")
+            ),
+        )
+
+    start = F.struct(entry.alias("last"), F.slice(F.array(nothing), 1, 0).alias("kept"))
+    return F.aggregate(blocks, start, add_block, lambda acc: F.flatten(acc["kept"]))
 
 
 def pre_downsample(

@@ -181,7 +181,8 @@ def _open_counts(pieces: DataFrame) -> DataFrame:
     """
     pts = F.col("_pts")
     times = F.transform(pts, lambda p: p["_us"])
-    in_hold = F.size(F.filter(times, lambda t: t < times[0] + HOLD_US))
+    begin = F.get(pts, F.lit(0))["_us"]
+    in_hold = F.size(F.filter(pts, lambda p: p["_us"] < begin + HOLD_US))
     head = F.when(F.col("_run") == 0, F.greatest(in_hold + 2, F.lit(S.PORT_CALL_POINTS + 1))).otherwise(1)
     head = F.least(head, F.size(pts))
     day_end = F.max("_run").over(Window.partitionBy("mmsi", "_day"))
@@ -196,7 +197,7 @@ def _open_counts(pieces: DataFrame) -> DataFrame:
             F.slice(times, 1, head).alias("times"),
             F.transform(F.sequence(F.lit(1), head), lambda begin: _count_left_open(pts, begin)).alias("left"),
         ).alias("_t"),
-        F.when(F.col("_run") > 0, times[0]).alias("_begin"),
+        F.when(F.col("_run") > 0, begin).alias("_begin"),
     )
     along = Window.partitionBy("mmsi").orderBy("_day", "_run").rowsBetween(Window.unboundedPreceding, 0)
     runs = (
