@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sequential import SECOND, keep_spaced, segment_starts
 
 from wakeline.functions.scalars import floor_div
-from wakeline.operators.downsample import downsample, pre_downsample
+from wakeline.operators.downsample import downsample, pre_downsample, with_previous
 from wakeline.operators.segments import segment_points
 from wakeline.operators.tracks import build_tracks, track_summary, tracks_from_points
 
@@ -89,7 +89,7 @@ def test_segments_match_the_sequential_rule(spark, vessels):
             points.append((us, sog, status))
         rows += [(m, us, 1.0, 2.0, sog, st, i) for i, (us, sog, st) in enumerate(points)]
         want |= {(m, us, start) for us, start in segment_starts(points)}
-    points = segment_points(frame(spark, rows))
+    points = segment_points(with_previous(frame(spark, rows)))
     got = points.select("mmsi", F.unix_micros("ts").alias("us"), F.unix_micros("segment_start").alias("start")).collect()
     assert {(r.mmsi, r.us, r.start) for r in got} == want
     assert len(got) == len(want)
@@ -178,4 +178,4 @@ def test_vessels_do_not_mix(spark):
 
 
 def test_no_points(spark):
-    assert tracks_from_points(segment_points(points(spark, (0, 5.0, 0)).limit(0))).collect() == []
+    assert tracks_from_points(segment_points(with_previous(points(spark, (0, 5.0, 0)).limit(0)))).collect() == []

@@ -24,12 +24,19 @@ from wakeline.functions.scalars import MICROS, floor_div, micros
 STRETCH_US = 6 * 3600 * MICROS
 # Rows folded at a time when a stretch picks its rows.
 BLOCK = 48
-# "Nothing kept yet", far below any real time but safe to add an interval to.
-NEVER = -(2**62)
 
 
 def downsample(points: DataFrame, interval_sec: int = S.DOWNSAMPLE_SEC) -> DataFrame:
     """Rows of ``points`` kept by the greedy rule, per vessel in time order."""
+    return with_previous(points, interval_sec).drop("previous")
+
+
+def with_previous(points: DataFrame, interval_sec: int = S.DOWNSAMPLE_SEC) -> DataFrame:
+    """The kept rows, each with the kept row before it as a struct (null for a vessel's first).
+
+    The struct has ``_us`` (time in microseconds) and all columns but ``mmsi``. It comes free with the
+    rule, so that comparing neighbours needs no window over the vessel.
+    """
     interval = interval_sec * MICROS
     cols = [c for c in points.columns if c != "mmsi"]
     stretches = (
@@ -40,43 +47,56 @@ def downsample(points: DataFrame, interval_sec: int = S.DOWNSAMPLE_SEC) -> DataF
         # Stated here so that both uses below have the same plan and share one shuffle.
         .filter(F.col("mmsi").isNotNull() & F.col("_stretch").isNotNull())
     )
-    chosen = stretches.join(_entry_times(stretches, interval), ["mmsi", "_stretch"]).select(
-        "mmsi", _pick(F.col("_rows"), F.col("_entry"), interval).alias("_kept")
+    row_type = stretches.schema["_rows"].dataType.elementType.simpleString()
+    entries = _entries(stretches, interval, row_type)
+    chosen = stretches.join(entries, ["mmsi", "_stretch"]).select(
+        "mmsi", _pick(F.col("_rows"), F.col("_entry"), interval, row_type).alias("_kept")
     )
     # The outer form keeps the optimizer from evaluating the fold a second time to test for empty arrays.
-    return chosen.select("mmsi", F.inline_outer("_kept")).filter("_us is not null").select(*points.columns)
+    rows = chosen.select("mmsi", F.inline_outer("_kept")).filter("row is not null")
+    return rows.select("mmsi", "row.*", "previous").select(*points.columns, "previous")
 
 
-def _entry_times(stretches: DataFrame, interval: int) -> DataFrame:
-    """(mmsi, _stretch, _entry): time of the last report kept before each stretch."""
-    times = F.transform("_rows", lambda r: r["_us"])
+def _far_enough(t: Column, last: Column, interval: int) -> Column:
+    return F.coalesce(t >= last["_us"] + interval, F.lit(True))
+
+
+def _entries(stretches: DataFrame, interval: int, row_type: str) -> DataFrame:
+    """(mmsi, _stretch, _entry): the last row kept before each stretch; null before the first."""
+    rows = F.col("_rows")
     begin = F.col("_stretch") * STRETCH_US
     # A report kept earlier lies before the stretch, so it blocks less than one interval of it. After
     # validation that is at most one report per second, and the first one behind them.
-    blocked = F.size(F.filter(times, lambda t: t < begin + interval))
-    candidates = F.slice(times, 1, blocked + 1)
+    blocked = F.size(F.filter(rows, lambda r: r["_us"] < begin + interval))
+    candidates = F.slice(rows, 1, blocked + 1)
     last_kept = F.aggregate(
-        times, candidates, lambda kept, t: F.transform(kept, lambda k: F.when(t >= k + interval, t).otherwise(k))
+        rows,
+        candidates,
+        lambda kept, r: F.transform(kept, lambda k: F.when(r["_us"] >= k["_us"] + interval, r).otherwise(k)),
+    )
+    tables = stretches.select(
+        "mmsi",
+        F.struct(
+            "_stretch", F.transform(candidates, lambda r: r["_us"]).alias("first"), last_kept.alias("last")
+        ).alias("_t"),
     )
-    tables = stretches.select("mmsi", F.struct("_stretch", candidates.alias("first"), last_kept.alias("last")).alias("_t"))
 
     def step(acc: Column, t: Column) -> Column:
-        at = F.size(F.filter(t["first"], lambda c: c < acc["last"] + interval)) + 1
+        entry = F.struct(t["_stretch"].alias("_stretch"), acc["last"].alias("_entry"))
+        place = F.size(F.filter(t["first"], lambda c: ~_far_enough(c, acc["last"], interval)))
         return F.struct(
-            F.coalesce(F.get(t["last"], at - 1), acc["last"]).alias("last"),
-            F.concat(acc["entries"], F.array(F.struct(t["_stretch"].alias("_stretch"), acc["last"].alias("_entry")))).alias(
-                "entries"
-            ),
+            F.coalesce(F.get(t["last"], place), acc["last"]).alias("last"),
+            F.concat(acc["entries"], F.array(entry)).alias("entries"),
         )
 
-    none = F.array().cast("array<struct<_stretch:bigint,_entry:bigint>>")
-    start = F.struct(F.lit(NEVER).cast("bigint").alias("last"), none.alias("entries"))
+    none = F.array().cast(f"array<struct<_stretch:bigint,_entry:{row_type}>>")
+    start = F.struct(F.lit(None).cast(row_type).alias("last"), none.alias("entries"))
     chained = tables.groupBy("mmsi").agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
     return chained.select("mmsi", F.inline(F.aggregate("_ts", start, step, lambda acc: acc["entries"])))
 
 
-def _pick(rows: Column, entry: Column, interval: int) -> Column:
-    """Array of the rows kept, given the last time kept before them.
+def _pick(rows: Column, entry: Column, interval: int, row_type: str) -> Column:
+    """Array of the kept rows with their predecessors, given the row kept before them.
 
     Appending to an array copies it, so the fold works on short blocks and joins their results at the end.
     """
@@ -84,11 +104,12 @@ def _pick(rows: Column, entry: Column, interval: int) -> Column:
         F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")),
         lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)),
     )
-    nothing = F.slice(rows, 1, 0)
+    nothing = F.array().cast(f"array<struct<row:{row_type},previous:{row_type}>>")
 
     def keep(acc: Column, r: Column) -> Column:
-        taken = F.struct(r["_us"].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept"))
-        return F.when(r["_us"] >= acc["last"] + interval, taken).otherwise(acc)
+        pair = F.struct(r.alias("row"), acc["last"].alias("previous"))
+        taken = F.struct(r.alias("last"), F.concat(acc["kept"], F.array(pair)).alias("kept"))
+        return F.when(_far_enough(r["_us"], acc["last"], interval), taken).otherwise(acc)
 
     def add_block(acc: Column, block: Column) -> Column:
         return F.aggregate(
@@ -100,7 +121,8 @@ def _pick(rows: Column, entry: Column, interval: int) -> Column:
             ),
         )
 
-    start = F.struct(entry.alias("last"), F.slice(F.array(nothing), 1, 0).alias("kept"))
+    no_blocks = F.array().cast(f"array<array<struct<row:{row_type},previous:{row_type}>>>")
+    start = F.struct(entry.alias("last"), no_blocks.alias("kept"))
     return F.aggregate(blocks, start, add_block, lambda acc: F.flatten(acc["kept"]))
 
 

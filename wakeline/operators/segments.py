@@ -38,7 +38,7 @@ def _over_days():
 
 
 def segment_points(points: DataFrame) -> DataFrame:
-    """Thinned points with their cut flags and the start time of their segment.
+    """Thinned points (``downsample.with_previous``) with their cut flags and segment start time.
 
     Adds ``gap_cut``, ``status_cut``, ``port_call_cut``, ``segment_start`` and ``leg_nm``, the distance
     from the previous point of the same segment (0 for its first).
@@ -52,37 +52,34 @@ def segment_points(points: DataFrame) -> DataFrame:
         .withColumn("_begins", F.col("_split") | F.col("port_call_cut"))
         .drop("_cuts")
     )
-    return _carry_segment_start(rows).select(
-        *points.columns, "gap_cut", "status_cut", "port_call_cut", "segment_start", "leg_nm"
-    )
+    kept = [c for c in points.columns if c != "previous"]
+    added = ["gap_cut", "status_cut", "port_call_cut", "segment_start", "leg_nm"]
+    return _carry_segment_start(rows).select(*kept, *added)
+
+
+def _still(nav_status: Column) -> Column:
+    return F.coalesce(nav_status.isin(S.STATIONARY_STATUS), F.lit(False))
+
+
+def _slow(sog: Column) -> Column:
+    return F.coalesce(sog < F.lit(S.PORT_CALL_SOG).cast("float"), F.lit(False))
 
 
 def _flag_gaps_and_status(points: DataFrame) -> DataFrame:
-    rows = (
-        points.withColumn("_us", micros(F.col("ts")))
-        .withColumn("_day", floor_div(F.col("_us"), DAY_US))
-        .withColumn("_still", F.coalesce(F.col("nav_status").isin(S.STATIONARY_STATUS), F.lit(False)))
-        .withColumn("_slow", F.coalesce(F.col("sog") < F.lit(S.PORT_CALL_SOG).cast("float"), F.lit(False)))
-    )
-    here = F.struct("_us", "_still", "_slow", "lon", "lat")
-    carried = (
-        rows.groupBy("mmsi", "_day")
-        .agg(F.max_by(here, F.col("_us")).alias("_last"))
-        .select("mmsi", "_day", F.lag("_last").over(_over_days()).alias("_carried"))
-    )
-    first = F.col("_prev").isNull()
-    gap = floor_div(F.col("_us") - F.col("_prev._us"), MICROS) > S.GAP_SEC
-    status = F.col("_prev._still") != F.col("_still")
-    split = first | F.col("gap_cut") | F.col("status_cut")
+    here, before = F.col, lambda c: F.col(f"previous.{c}")
+    us = micros(here("ts"))
+    gap = F.coalesce(floor_div(us - before("_us"), MICROS) > S.GAP_SEC, F.lit(False))
+    first = here("previous").isNull()
+    status = ~first & (_still(before("nav_status")) != _still(here("nav_status")))
+    # A slow run begins at a slow point that does not continue one.
+    run_begins = here("_slow") & (here("_split") | ~_slow(before("sog")))
     return (
-        rows.join(carried, ["mmsi", "_day"])
-        .withColumn("_prev", F.coalesce(F.lag(here).over(_in_day()), F.col("_carried")))
-        .withColumn("gap_cut", F.coalesce(gap, F.lit(False)))
-        .withColumn("status_cut", F.coalesce(status & ~F.col("gap_cut"), F.lit(False)))
-        .withColumn("_split", split)
-        # A slow run begins at a slow point that does not continue one.
-        .withColumn("_run_begins", F.col("_slow") & (F.col("_split") | ~F.col("_prev._slow")))
-        .drop("_carried")
+        points.withColumns({"_us": us, "_day": floor_div(us, DAY_US), "gap_cut": gap, "_slow": _slow(here("sog"))})
+        .withColumn("status_cut", status & ~here("gap_cut"))
+        .withColumn("_split", first | here("gap_cut") | here("status_cut"))
+        .withColumn("_run_begins", run_begins)
+        .withColumn("_leg", haversine_nm(before("lat"), before("lon"), here("lat"), here("lon")))
+        .drop("previous")
     )
 
 
@@ -98,11 +95,11 @@ def _flag_gaps_and_status(points: DataFrame) -> DataFrame:
 def _port_call_cuts(flagged: DataFrame) -> DataFrame:
     """(mmsi, _day, _cuts): times at which a port call cuts, one array per vessel and day."""
     pieces = _slow_pieces(flagged)
-    ordinary = pieces.filter(F.col("_run") > 0).withColumn("_open", _no_count())
-    continued = pieces.filter(F.col("_run") == 0).join(_open_counts(pieces), ["mmsi", "_day"])
-    cut_times = F.explode(_cuts_of_piece(F.col("_pts"), F.col("_open"))).alias("_cut")
+    brought_in = _open_counts(pieces).select("mmsi", "_day", F.lit(0).cast("bigint").alias("_run"), "_open")
+    open_count = F.coalesce("_open", _no_count())
+    cut_times = F.explode(_cuts_of_piece(F.col("_pts"), open_count)).alias("_cut")
     return (
-        ordinary.unionByName(continued)
+        pieces.join(brought_in, ["mmsi", "_day", "_run"], "left")
         .select("mmsi", cut_times)
         .groupBy("mmsi", floor_div(F.col("_cut"), DAY_US).alias("_day"))
         .agg(F.collect_set("_cut").alias("_cuts"))
@@ -242,11 +239,10 @@ def _carry_segment_start(rows: DataFrame) -> DataFrame:
     carried = by_day.select(
         "mmsi", "_day", F.last("_day_begin", ignorenulls=True).over(earlier).alias("_carried_begin")
     )
-    leg = haversine_nm(F.col("_prev.lat"), F.col("_prev.lon"), F.col("lat"), F.col("lon"))
     newest_begin = F.last(begin, ignorenulls=True).over(_in_day_so_far())
     return (
         rows.withColumn("_in_day", newest_begin)
         .join(carried, ["mmsi", "_day"])
         .withColumn("segment_start", from_micros(F.coalesce("_in_day", "_carried_begin")))
-        .withColumn("leg_nm", F.when(F.col("_begins"), 0.0).otherwise(leg))
+        .withColumn("leg_nm", F.when(F.col("_begins"), 0.0).otherwise(F.col("_leg")))
     )

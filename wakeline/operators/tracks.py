@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from wakeline import schema as S
 from wakeline.functions.scalars import voyage_id
-from wakeline.operators.downsample import downsample, pre_downsample
+from wakeline.operators.downsample import pre_downsample, with_previous
 from wakeline.operators.segments import segment_points
-from wakeline.session import stage
 
 POINT_COLS = ["mmsi", "ts", "lon", "lat", "sog", "nav_status"]
 
@@ -22,8 +21,7 @@ def track_points(positions: DataFrame, arrival_block: Column | None = None, pre_
     """
     if pre_interval is not None:
         positions = pre_downsample(positions.select(*POINT_COLS, "seq"), arrival_block, "seq", pre_interval)
-    thinned = stage(downsample(positions.select(*POINT_COLS)), "thinned")
-    return segment_points(thinned)
+    return segment_points(with_previous(positions.select(*POINT_COLS)))
 
 
 def whole_speed_mean(sog: Column) -> Column:
