@@ -143,8 +143,9 @@ def _tag(ts: Column, seq: Column) -> Column:
 
 
 def _write_lines(lines: DataFrame, label: str) -> str:
+    # Ranges of seq alone: all parts of a message belong into one file.
     path = scratch_path(lines.sparkSession, label)
-    lines.orderBy("seq", "part").select("value").write.text(path)
+    lines.repartitionByRange("seq").sortWithinPartitions("seq", "part").select("value").write.text(path)
     return path
 
 

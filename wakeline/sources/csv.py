@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv as textcsv
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,9 +52,11 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Files may have different headers: one scan per distinct header. A file without the required columns
     gives no rows; a row whose required values do not parse is dropped.
     """
+    files = list_files(spark, paths)
+    with ThreadPoolExecutor(16) as pool:
+        firsts = list(pool.map(lambda path: spark.read.text(path).head(), files))
     by_header: dict[str, list[str]] = {}
-    for path in list_files(spark, paths):
-        first = spark.read.text(path).head()
+    for path, first in zip(files, firsts):
         if first is not None:
             by_header.setdefault(first.value, []).append(path)
     scans = []

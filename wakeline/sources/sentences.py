@@ -11,8 +11,9 @@ from wakeline.functions import scalars as X
 from wakeline.session import stage
 from wakeline.sources.files import archive_lines, text_lines
 
-# A line with a leading tag block, and the epoch inside the block.
-TAG_BLOCK_LINE = r"^\\([^\\]*)\\(!AI(?:VDM|VDO).+)$"
+# Sentence starts, and the epoch inside a tag block.
+SENTENCE = "!AI"
+TAGGED_SENTENCES = ("!AIVDM", "!AIVDO")
 TAG_EPOCH = r"c:(\d+)"
 # Fixed value: larger epochs are milliseconds.
 MILLIS_ABOVE = 1_000_000_000_000
@@ -37,31 +38,36 @@ def sentence_fields(lines: DataFrame, fallback: str | None = None) -> DataFrame:
     ``fallback`` is the UTC time of sentences without a tag block time. Comments, blank lines, other
     sentences and lines with too few or non-numeric fields are left out.
     """
-    line = X.strip(F.col("value"))
-    tagged = lines.withColumn("_line", line).withColumn("_tags", F.regexp_extract("_line", TAG_BLOCK_LINE, 1))
-    bare = F.regexp_extract("_line", TAG_BLOCK_LINE, 2)
-    sentence = F.when(bare != "", bare).otherwise(F.col("_line"))
-    epoch = F.regexp_extract("_tags", TAG_EPOCH, 1).try_cast("bigint")
+    line, mark = F.col("_line"), F.lit("\\")
+    # A tag block stands between two backslashes before the sentence. These tests are plain text searches:
+    # the filters below repeat them, which regular expressions would make dear.
+    behind_tags = F.substr(line, F.locate("\\", line, 2) + 1)
+    after_tag = [behind_tags.startswith(start) & (F.length(behind_tags) > len(start)) for start in TAGGED_SENTENCES]
+    tagged = line.startswith("\\") & (after_tag[0] | after_tag[1])
+    sentence, tags = F.col("_s"), F.when(tagged, F.split_part(line, mark, F.lit(2)))
+    epoch = F.regexp_extract(tags, TAG_EPOCH, 1).try_cast("bigint")
     at = F.when(epoch > MILLIS_ABOVE, F.timestamp_millis(epoch)).otherwise(F.timestamp_seconds(epoch))
     default = X.at(fallback) if fallback else F.lit(None).cast("timestamp")
-    fields = (
-        tagged.withColumn("_s", sentence)
-        .filter(F.col("_s").startswith("!AI"))
-        .withColumn("_f", F.split("_s", ",", -1))
-        .filter(F.size("_f") >= 6)
-    )
+    commas = F.length(sentence) - F.length(F.replace(sentence, F.lit(","), F.lit("")))
 
     def field(i: int) -> Column:
-        return X.strip(F.get("_f", F.lit(i)))
+        return X.strip(F.split_part(sentence, F.lit(","), F.lit(i + 1)))
 
-    return fields.select(
-        field(1).try_cast("int").alias("total"),
-        field(2).try_cast("int").alias("num"),
-        F.concat_ws("|", field(4), field(3)).alias("key"),
-        field(5).alias("payload"),
-        F.coalesce(at, default).alias("ts"),
-        "seq",
-    ).filter("total is not null and num is not null")
+    return (
+        lines.filter(F.col("value").contains(SENTENCE))
+        .withColumn("_line", X.strip(F.col("value")))
+        .withColumn("_s", F.when(tagged, behind_tags).otherwise(line))
+        .filter(sentence.startswith(SENTENCE) & (commas >= 5))
+        .select(
+            field(1).try_cast("int").alias("total"),
+            field(2).try_cast("int").alias("num"),
+            F.concat_ws("|", field(4), field(3)).alias("key"),
+            field(5).alias("payload"),
+            F.coalesce(at, default).alias("ts"),
+            "seq",
+        )
+        .filter("total is not null and num is not null")
+    )
 
 
 def assemble(sentences: DataFrame, file: Column | None = None, block: Column | None = None) -> DataFrame:
@@ -82,6 +88,8 @@ def assemble(sentences: DataFrame, file: Column | None = None, block: Column | N
     )
     # Few of a log's lines, used several times below: staged, so that the log is not read again each time.
     parts = stage(multi, "parts")
+    if parts.isEmpty():
+        return single
     grouped = _join_to_group(parts).filter("num <= _group.total")
     group = ["_file", "key", "_group"]
 
@@ -136,20 +144,29 @@ def _join_to_group(parts: DataFrame) -> DataFrame:
 # value. Checksums are not verified.
 
 
-def _decodable(messages: DataFrame, types: list[int]) -> DataFrame:
-    typed = P.with_bits(messages.filter("ts is not null")).withColumn("_type", P.unsigned(0, 6).cast("int"))
-    return typed.filter(F.col("_type").isin(types))
+def _messages_of(messages: DataFrame, types: list[int], bits: int) -> DataFrame:
+    """Messages of some types with at least ``bits`` bits, ready for reading fields.
+
+    The type is the value of the first payload character, so this needs no decoding.
+    """
+    first = F.substring("payload", 1, 1)
+    timed = messages.filter("ts is not null").filter(F.length("payload") * 6 >= bits)
+    return P.with_bits(timed.filter(first.isin([P.ARMOUR[t] for t in types]))).withColumn(
+        "_type", P.unsigned(0, 6).cast("int")
+    )
 
 
 def decode_positions(messages: DataFrame) -> DataFrame:
     """Position reports (types 1, 2, 3 and 18) with ``seq``; other messages give no row."""
-    class_a = F.col("_type").isin(POSITION_TYPES_A)
+    class_a = ~F.startswith(F.col("payload"), F.lit(P.ARMOUR[POSITION_TYPE_B]))
 
     def pick(a: Column, b: Column) -> Column:
         return F.when(class_a, a).otherwise(b)
 
     none = F.lit(None)
-    rows = _decodable(messages, [*POSITION_TYPES_A, POSITION_TYPE_B])
+    # Up to the end of the latitude; class A has it four bits later.
+    reports = _messages_of(messages, [*POSITION_TYPES_A, POSITION_TYPE_B], 112)
+    rows = reports.filter(~class_a | (F.col("_bits") >= 116))
     values = {
         "mmsi": P.unsigned(8, 30),
         "ts": F.col("ts"),
@@ -163,7 +180,7 @@ def decode_positions(messages: DataFrame) -> DataFrame:
         "msg_type": F.col("_type"),
         "seq": F.col("seq"),
     }
-    return rows.select(*[values[c].alias(c) for c in [*S.POSITION_COLS, "seq"]]).dropna(subset=["lat", "lon"])
+    return rows.select(*[values[c].alias(c) for c in [*S.POSITION_COLS, "seq"]])
 
 
 def decode_static(messages: DataFrame) -> DataFrame:
@@ -191,7 +208,7 @@ def decode_static(messages: DataFrame) -> DataFrame:
     length_a, beam_a = size(240, 258)
     length_b, beam_b = size(132, 150)
     imo = P.unsigned(40, 30)
-    rows = _decodable(messages, [STATIC_TYPE_A, STATIC_TYPE_B]).filter(part.isNotNull())
+    rows = _messages_of(messages, [STATIC_TYPE_A, STATIC_TYPE_B], 40)
     typed = rows.withColumn(
         "ship_type", pick(a=P.unsigned(232, 8), rest=P.unsigned(40, 8)).cast("int")
     )

@@ -16,7 +16,7 @@ from wakeline.functions.scalars import month_key, to_millis
 from wakeline.functions.spatial import CELL_DEG, cell_x, cell_y
 from wakeline.functions.wkb import decode_paths, decode_points, path_wkb, point_wkb
 from wakeline.operators.vessels import upsert
-from wakeline.session import scratch_path
+from wakeline.session import scratch_path, stage
 
 POSITION_PARTITIONS = ["date", "cell_x", "cell_y"]
 _STORED_POSITIONS = T.StructType(
@@ -125,14 +125,12 @@ def write_vessels(vessels: DataFrame, store: Store, mode: str = "replace") -> in
     An empty ``vessels`` leaves the table as it is.
     """
     spark = vessels.sparkSession
-    rows = vessels.select(*S.VESSEL_COLS).withColumn("last_seen", to_millis(F.col("last_seen")))
+    rows = stage(vessels.select(*S.VESSEL_COLS).withColumn("last_seen", to_millis(F.col("last_seen"))), "vessels")
     if rows.isEmpty():
         return 0
     if mode == "upsert" and _exists(spark, store.vessels):
         # The old table is an input, so the new one is finished elsewhere before it takes its place.
-        path = scratch_path(spark, "vessels")
-        _write(upsert(read_vessels(spark, store), rows), path, [], ["mmsi"], "overwrite")
-        rows = spark.read.schema(S.VESSELS).parquet(path)
+        rows = stage(upsert(read_vessels(spark, store), rows), "upserted")
     return _write(rows, store.vessels, [], ["mmsi"], "overwrite")
 
 
