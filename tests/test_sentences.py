@@ -82,6 +82,14 @@ def test_other_types_and_bad_lines_give_nothing(messages):
     assert N.decode_static(messages).count() == 3
 
 
+def test_counts(spark, tmp_path):
+    path = tmp_path / "sample.nmea"
+    path.write_text(LOG)
+    counts = N.parse_counts(text_lines(spark, str(path)), FALLBACK).head()
+    assert (counts.sentences, counts.skipped, counts.messages) == (11, 2, 8)
+    assert (counts.positions, counts.vessels) == (4, 3)
+
+
 def test_without_any_time_nothing_is_decoded(spark, tmp_path):
     path = tmp_path / "one.nmea"
     path.write_text("!AIVDM,1,1,,A,15RTgt0PAso;90TKcjM8h6g208CQ,0*4A\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,11 @@ LOCAL_TIME_FORMATS = [
 ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{0,9})?(Z|\+\d{2}:\d{2})$"
 
 
+def _shape(time_format: str) -> str:
+    """LIKE pattern with a placeholder for each digit."""
+    return re.sub("[yMdHms]", "_", time_format.replace("'", ""))
+
+
 def parse_time(text: Column) -> Column:
     """Text to UTC time; null when no format fits.
 
@@ -67,7 +74,10 @@ def parse_time(text: Column) -> Column:
     """
     zoned = text.endswith("Z") | text.contains("+")
     instant = F.when(text.rlike(ISO_INSTANT), F.try_to_timestamp(text))
-    local = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in LOCAL_TIME_FORMATS])
+    # A failed attempt costs an exception, so a format is only tried on text of its shape.
+    local = F.coalesce(
+        *[F.when(text.like(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in LOCAL_TIME_FORMATS]
+    )
     return F.when(zoned, instant).otherwise(local)
 
 

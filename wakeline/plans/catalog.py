@@ -72,6 +72,15 @@ def csv_vessels(spark, sf):
     return C.vessel_reports_of(C.read_csv(spark, R.static_csv_files(spark, sf))).drop("seq")
 
 
+def csv_counts(spark, sf):
+    return C.parse_counts(C.read_all_rows(spark, [*R.position_csv_files(spark, sf), R.static_csv_files(spark, sf)]))
+
+
+def nmea_counts(spark, sf):
+    logs = [R.position_sentences(spark, sf), R.static_sentences(spark, sf)]
+    return N.parse_counts(FI.text_lines(spark, logs), FALLBACK)
+
+
 def nmea_tag_time(spark, sf):
     lines = FI.text_lines(spark, R.position_sentences(spark, sf))
     return N.sentence_fields(lines, FALLBACK).groupBy("total", "num", "key", "ts").agg(F.count("*").alias("n"))
@@ -361,7 +370,7 @@ def ship_class(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        csv_positions, csv_vessels, nmea_tag_time, nmea_assemble, nmea_decode_positions, nmea_decode_static,
+        csv_positions, csv_vessels, csv_counts, nmea_tag_time, nmea_counts, nmea_assemble, nmea_decode_positions, nmea_decode_static,
         first_lines, validate_reasons, validation_statistics, dedup_keep_first, vessel_merge, vessel_latest,
         vessel_upsert, enrich_positions, vessel_details, positions_range, positions_first_1000, positions_at,
         positions_at_box, positions_series, vessel_search, vessel_suggest, downsample_10s, pre_downsample_60s,

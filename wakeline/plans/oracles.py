@@ -307,6 +307,17 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN seq % 3 = 2 THEN seq % 50 + 10.0 ELSE length_m END::DOUBLE AS length_m,
                    beam_m, draught_m, destination, last_seen
             FROM static""",
+        "csv_counts": f"""WITH {RAW}, {STATIC},
+            both_kinds AS (
+              SELECT seq % 41 <> 0 AS good, false AS telling FROM raw UNION ALL SELECT true, true FROM static)
+            SELECT count(*) AS rows, count(*) FILTER (good) AS positions, count(*) FILTER (telling) AS vessels,
+                   count(*) FILTER (NOT good) AS skipped
+            FROM both_kinds""",
+        "nmea_counts": f"""WITH {RAW}, {STATIC}
+            SELECT (SELECT count(*) FROM raw) + count(*) + count(*) FILTER (seq % 3 = 0) AS sentences, 0 AS skipped,
+                   (SELECT count(*) FROM raw) + count(*) AS messages, (SELECT count(*) FROM raw) AS positions,
+                   count(*) AS vessels
+            FROM static""",
         "nmea_tag_time": f"""WITH {RAW}
             SELECT 1 AS total, 1 AS num, CASE WHEN seq % 2 = 0 THEN 'A|' ELSE 'B|' END AS key, {TAG_TS} AS ts,
                    count(*) AS n

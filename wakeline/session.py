@@ -23,6 +23,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Vessel tables of some million rows may be broadcast, but only when Spark knows them to be that small.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
     # Folding sequences costs far more per byte than reading, so even small partitions deserve a task.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     spark.conf.set("spark.sql.parquet.filterPushdown", "true")

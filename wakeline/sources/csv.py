@@ -49,8 +49,15 @@ def resolve(fields: list[str]) -> dict[str, int] | None:
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All good rows of the CSV files, with position and metadata columns and ``seq``.
 
-    Files may have different headers: one scan per distinct header. A file without the required columns
-    gives no rows; a row whose required values do not parse is dropped.
+    A file without the required columns gives no rows; a row whose required values do not parse is dropped.
+    """
+    return good_rows(read_all_rows(spark, paths))
+
+
+def read_all_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The same with the bad rows still in.
+
+    Files may have different headers: one scan per distinct header.
     """
     files = list_files(spark, paths)
     with ThreadPoolExecutor(16) as pool:
@@ -72,7 +79,10 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_csv_archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The same for ZIP archives that hold a CSV entry each."""
-    lines = archive_lines(spark, paths, "csv")
+    return good_rows(_archive_rows(spark, archive_lines(spark, paths, "csv")))
+
+
+def _archive_rows(spark: SparkSession, lines: DataFrame) -> DataFrame:
     header_rows = lines.filter("seq.block = 0 and seq.row = 0").select("seq.file", "value").collect()
     by_header: dict[str, list[str]] = {}
     for row in header_rows:
@@ -136,16 +146,33 @@ def parse(raw: DataFrame, place: dict[str, int], order: Column) -> DataFrame:
     if not any(f in place for f in S.CSV_METADATA):
         for c in S.VESSEL_FIELDS:
             values[c] = F.lit(None).cast(S.VESSELS[c].dataType)
-    good = raw.select(*[values[c].alias(c) for c in PARSED_COLS])
-    return good.dropna(subset=S.CSV_REQUIRED)
+    return raw.select(*[values[c].alias(c) for c in PARSED_COLS])
+
+
+def good_rows(parsed: DataFrame) -> DataFrame:
+    return parsed.dropna(subset=S.CSV_REQUIRED)
+
+
+def parse_counts(parsed: DataFrame) -> DataFrame:
+    """One row over ``read_all_rows``: rows, positions, vessel reports, skipped rows."""
+    good = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in S.CSV_REQUIRED])
+    return parsed.agg(
+        F.count("*").alias("rows"),
+        F.count_if(good).alias("positions"),
+        F.count_if(good & _tells_something()).alias("vessels"),
+        F.count_if(~good).alias("skipped"),
+    )
 
 
 def positions_of(parsed: DataFrame) -> DataFrame:
     return parsed.select(*S.POSITION_COLS, "seq")
 
 
+def _tells_something() -> Column:
+    """A numeric ship type alone does not count."""
+    return F.coalesce(*[F.col(c).cast("string") for c in S.VESSEL_FIELDS if c != "ship_type"]).isNotNull()
+
+
 def vessel_reports_of(parsed: DataFrame) -> DataFrame:
-    """Rows that say something about the vessel. A numeric ship type alone does not count."""
-    telling = [c for c in S.VESSEL_FIELDS if c != "ship_type"]
-    useful = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in telling])
-    return parsed.filter(useful).select("mmsi", *S.VESSEL_FIELDS, F.col("ts").alias("last_seen"), "seq")
+    """Rows that say something about the vessel."""
+    return parsed.filter(_tells_something()).select("mmsi", *S.VESSEL_FIELDS, F.col("ts").alias("last_seen"), "seq")

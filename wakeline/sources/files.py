@@ -88,7 +88,7 @@ def archive_lines(spark: SparkSession, paths: str | list[str], fmt: str) -> Data
                 yield from _entry_batches(path.as_py(), content.as_py(), endings)
 
     raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    lines = raw.repartition(F.col("path")).mapInArrow(unpack, LINES).repartition("file", "block")
+    lines = raw.mapInArrow(unpack, LINES).repartition("file", "block")
     return stage(lines, "unpacked").select(
         "value", F.struct("file", "block", F.col("line_no").alias("row")).alias("seq")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,27 @@ def sentence_fields(lines: DataFrame, fallback: str | None = None) -> DataFrame:
     ``fallback`` is the UTC time of sentences without a tag block time. Comments, blank lines, other
     sentences and lines with too few or non-numeric fields are left out.
     """
+    return _fields(lines, fallback).filter("commas >= 5 and total is not null and num is not null").drop("commas")
+
+
+def parse_counts(lines: DataFrame, fallback: str | None = None) -> DataFrame:
+    """One row: sentences read, skipped for their fields, assembled messages, positions, vessel reports."""
+    usable = F.expr("commas >= 5 and total is not null and num is not null")
+    read = _fields(lines, fallback).agg(
+        F.count("*").alias("sentences"), F.count_if(~F.coalesce(usable, F.lit(False))).alias("skipped")
+    )
+    messages = stage(assemble(sentence_fields(lines, fallback)), "messages")
+    counts = [
+        read,
+        messages.agg(F.count("*").alias("messages")),
+        decode_positions(messages).agg(F.count("*").alias("positions")),
+        decode_static(messages).agg(F.count("*").alias("vessels")),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counts)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
+def _fields(lines: DataFrame, fallback: str | None) -> DataFrame:
     line, mark = F.col("_line"), F.lit("\\")
     # A tag block stands between two backslashes before the sentence. These tests are plain text searches:
     # the filters below repeat them, which regular expressions would make dear.
@@ -57,8 +80,9 @@ def sentence_fields(lines: DataFrame, fallback: str | None = None) -> DataFrame:
         lines.filter(F.col("value").contains(SENTENCE))
         .withColumn("_line", X.strip(F.col("value")))
         .withColumn("_s", F.when(tagged, behind_tags).otherwise(line))
-        .filter(sentence.startswith(SENTENCE) & (commas >= 5))
+        .filter(sentence.startswith(SENTENCE))
         .select(
+            commas.alias("commas"),
             field(1).try_cast("int").alias("total"),
             field(2).try_cast("int").alias("num"),
             F.concat_ws("|", field(4), field(3)).alias("key"),
@@ -66,7 +90,6 @@ def sentence_fields(lines: DataFrame, fallback: str | None = None) -> DataFrame:
             F.coalesce(at, default).alias("ts"),
             "seq",
         )
-        .filter("total is not null and num is not null")
     )
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,11 +199,6 @@ def backfill(spark: SparkSession, source: str, store: Store, cell_deg: float = C
     return write_positions(read_wkb_positions(spark, source), store, cell_deg)
 
 
-def source_cell() -> Column:
-    """The cell name in the file path of an older layout."""
-    return F.regexp_extract("_metadata.file_path", "h3_r3=([^/]+)", 1)
-
-
 def compact_positions(spark: SparkSession, store: Store, date: str, target_bytes: int = 512 * 1024 * 1024) -> int:
     """Rewrite one date's partitions with files of about ``target_bytes``.
 

@@ -29,7 +29,7 @@ def stream_csv(spark: SparkSession, landing: str, header: str, files_per_batch:
         .schema(layout)
         .csv(landing)
     )
-    return C.parse(raw, place, F.lit(None).cast("bigint"))
+    return C.good_rows(C.parse(raw, place, F.lit(None).cast("bigint")))
 
 
 def without_repeats(positions: DataFrame, delay: str = "1 day") -> DataFrame:
