@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline import schema as S
@@ -25,10 +25,11 @@ def snapshot_series(
 ) -> DataFrame:
     """For each tick and vessel the newest position of the look-back time before the tick.
 
-    Two combining aggregations instead of one query per tick. A position counts from the first tick at
-    or after it; of all positions of a vessel that share this tick only the newest can ever be shown,
-    so the data shrinks to one row per vessel and tick first. Only then is each row offered to the
-    ticks it can still reach.
+    One job instead of one query per tick. A position counts from the first tick at or after it; of all
+    positions of a vessel that share this tick only the newest can ever be shown, so a combining
+    aggregation leaves one row per vessel and tick. That row is shown until its look-back ends or the
+    vessel's next row takes over, so each row is copied to just the ticks that show it. The window holds
+    at most one row per tick of the series.
     """
     t0, t1 = micros(at(first_tick)), micros(at(last_tick))
     step, lookback = step_sec * MICROS, lookback_sec * MICROS
@@ -45,12 +46,11 @@ def snapshot_series(
         .groupBy("mmsi", "_tick")
         .agg(_newest(cols).alias("_p"))
     )
-    reach = F.least(floor_div(micros(F.col("_p.ts")) - t0 + lookback, step), last_no)
+    takes_over = F.lead("_tick").over(Window.partitionBy("mmsi").orderBy("_tick"))
+    in_reach = F.least(floor_div(micros(F.col("_p.ts")) - t0 + lookback, step), last_no)
     shown = (
-        entering.withColumn("_reach", reach)
-        .filter(F.col("_reach") >= F.col("_tick"))
-        .select("mmsi", F.explode(F.sequence(F.col("_tick"), F.col("_reach"))).alias("_no"), "_p.*")
-        .groupBy("_no", "mmsi")
-        .agg(_newest(cols).alias("_p"))
+        entering.withColumn("_until", F.least(in_reach, takes_over - 1))
+        .filter(F.col("_until") >= F.col("_tick"))
+        .select("mmsi", F.explode(F.sequence(F.col("_tick"), F.col("_until"))).alias("_no"), "_p.*")
     )
-    return shown.select(from_micros(t0 + F.col("_no") * step).alias("at"), "mmsi", "_p.*")
+    return shown.select(from_micros(t0 + F.col("_no") * step).alias("at"), "mmsi", *cols)
