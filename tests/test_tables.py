@@ -195,6 +195,21 @@ def test_import_upserts_vessels_on_request(spark, tmp_path):
     assert {r.vessel_name for r in TB.read_vessels(spark, store).collect()} == {"ANNA", "BERTA"}
 
 
+def test_import_thins_in_arrival_order_over_files(spark, tmp_path):
+    """The second file's rows arrive after all of the first's, so its older reports are dropped."""
+    source, store = tmp_path / "in", TB.Store(str(tmp_path / "out"))
+    source.mkdir()
+
+    def rows(minutes):
+        return CSV + "".join(f"219000001,2024-01-15 12:{m:02d}:00,55.{m:02d},11,5,,,\n" for m in minutes)
+
+    (source / "a.csv").write_text(rows([0, 1, 2, 30]))
+    (source / "b.csv").write_text(rows([10, 11, 31, 32]))
+    for interval, points in ((None, 8), (60, 6), (120, 4)):
+        I.import_files(spark, str(source), store, I.ImportOptions(pre_interval=interval))
+        assert [t.point_count for t in TB.read_tracks(spark, store).collect()] == [points]
+
+
 def test_stream_of_files(spark, tmp_path):
     landing, store = tmp_path / "landing", TB.Store(str(tmp_path / "out"))
     landing.mkdir()

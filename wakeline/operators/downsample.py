@@ -69,11 +69,16 @@ def _entries(stretches: DataFrame, interval: int, row_type: str) -> DataFrame:
     # validation that is at most one report per second, and the first one behind them.
     blocked = F.size(F.filter(rows, lambda r: r["_us"] < begin + interval))
     candidates = F.slice(rows, 1, blocked + 1)
-    last_kept = F.aggregate(
-        rows,
-        candidates,
-        lambda kept, r: F.transform(kept, lambda k: F.when(r["_us"] >= k["_us"] + interval, r).otherwise(k)),
-    )
+
+    # A row that follows its neighbour by the interval is kept whatever came before: from there on all
+    # candidates agree, and one is enough.
+    def advance(acc: Column, r: Column) -> Column:
+        moved = F.transform(acc["kept"], lambda k: F.when(r["_us"] >= k["_us"] + interval, r).otherwise(k))
+        agreed = F.when(r["_us"] >= acc["before"] + interval, F.array(r)).otherwise(moved)
+        return F.struct(r["_us"].alias("before"), agreed.alias("kept"))
+
+    none_before = F.struct(F.lit(None).cast("bigint").alias("before"), candidates.alias("kept"))
+    last_kept = F.aggregate(rows, none_before, advance, lambda acc: acc["kept"])
     tables = stretches.select(
         "mmsi",
         F.struct(
@@ -84,8 +89,9 @@ def _entries(stretches: DataFrame, interval: int, row_type: str) -> DataFrame:
     def step(acc: Column, t: Column) -> Column:
         entry = F.struct(t["_stretch"].alias("_stretch"), acc["last"].alias("_entry"))
         place = F.size(F.filter(t["first"], lambda c: ~_far_enough(c, acc["last"], interval)))
+        outcome = F.get(t["last"], F.least(place, F.size(t["last"]) - 1))
         return F.struct(
-            F.coalesce(F.get(t["last"], place), acc["last"]).alias("last"),
+            F.when(place < F.size(t["first"]), outcome).otherwise(acc["last"]).alias("last"),
             F.concat(acc["entries"], F.array(entry)).alias("entries"),
         )
 

@@ -30,7 +30,11 @@ def whole_speed_mean(sog: Column) -> Column:
 
 
 def tracks_from_points(points: DataFrame) -> DataFrame:
-    """Aggregate segment points to tracks. A segment of one point gives no track."""
+    """Aggregate segment points to tracks. A segment of one point gives no track.
+
+    The path is part of the result, so a track's points meet in one row: after thinning at most 8 640 of
+    24 bytes for each day the voyage lasts.
+    """
     path = F.sort_array(F.collect_list(F.struct("ts", "lon", "lat")))
     sog = F.col("sog")
     return (

@@ -305,6 +305,23 @@ def stored_vessels(spark, sf):
     return TB.read_vessels(spark, store)
 
 
+def sql_views(spark, sf):
+    """SQL over the registered views of the stored tables."""
+    store = _store(spark)
+    rows = stage(_clean(spark, sf), "rows")
+    TB.write_positions(rows, store)
+    TB.write_vessels(D.named_vessels(spark, sf), store)
+    TB.write_tracks(TR.build_tracks(rows), store)
+    TB.register_views(spark, store)
+    return spark.sql(
+        """SELECT p.mmsi, max(v.vessel_name) AS vessel_name, count(*) AS positions, max(t.tracks) AS tracks
+           FROM ais_positions p
+           LEFT JOIN vessel_metadata v ON p.mmsi = v.mmsi
+           LEFT JOIN (SELECT mmsi, count(*) AS tracks FROM ais_tracks GROUP BY mmsi) t ON p.mmsi = t.mmsi
+           GROUP BY p.mmsi"""
+    )
+
+
 def wkb_round_trip(spark, sf):
     rows = TB.positions_with_wkb(_clean(spark, sf).select("mmsi", "ts", "lon", "lat"))
     return B.decode_points(rows)
@@ -363,6 +380,7 @@ def ship_class(spark, sf):
         X.nav_status_label(F.col("nav_status")).alias("status"),
         X.display_name(F.col("vessel_name"), F.col("mmsi")).alias("name"),
         X.summary_label(F.col("ship_type_desc"), F.col("sog")).alias("summary"),
+        X.cog_label(F.col("cog")).alias("course"),
         G.point_wkt(F.col("lon"), F.col("lat")).alias("wkt"),
     )
 
@@ -375,7 +393,7 @@ QUERIES: dict[str, Query] = {
         vessel_upsert, enrich_positions, vessel_details, positions_range, positions_first_1000, positions_at,
         positions_at_box, positions_series, vessel_search, vessel_suggest, downsample_10s, pre_downsample_60s,
         segment_flags, track_build, track_build_pre60, track_summary, tracks_bbox, tracks_geojson,
-        tracks_on_the_fly, partition_bbox, cell_prune, stored_positions, stored_tracks, stored_vessels,
+        tracks_on_the_fly, partition_bbox, cell_prune, stored_positions, stored_tracks, stored_vessels, sql_views,
         wkb_round_trip, compacted_positions, backfilled_positions, import_summary, streamed_positions, ship_class,
     )
 }

@@ -45,7 +45,7 @@ def import_files(
     configure(spark)
     started = time.monotonic()
     positions, reports = read_any(spark, paths, options.fallback)
-    return _import(positions, reports, store, options, started, F.col("seq.block"))
+    return _import(positions, reports, store, options, started, F.struct("seq.file", "seq.block"))
 
 
 def read_any(spark: SparkSession, paths: str | list[str], fallback: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -291,6 +291,7 @@ WHEN {c} BETWEEN 30 AND 39 THEN 'fishing' WHEN {c} BETWEEN 50 AND 59 THEN 'speci
 WHEN {c} BETWEEN 40 AND 49 THEN 'high_speed' ELSE 'other' END"""
 
 # One decimal, half up (printf alone would round 43.25 to the even 43.2).
+_COG_TEXT = "printf('%.1f', floor(CAST(p.cog AS DOUBLE) * 10 + 0.5) / 10) || '°'"
 _SOG_TEXT = "printf('%.1f', floor(CAST(p.sog AS DOUBLE) * 10 + 0.5) / 10) || ' kn'"
 
 
@@ -443,6 +444,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT mmsi, date_trunc('millisecond', ts) AS ts, lon, lat,
                    CAST(floor((lon + 180) / 5) AS INTEGER) AS cell_x, CAST(floor((lat + 90) / 5) AS INTEGER) AS cell_y
             FROM clean""",
+        "sql_views": f"""{ALL_TRACKS}, {NAMED},
+            built AS (SELECT mmsi, count(*) AS tracks FROM tracks GROUP BY mmsi)
+            SELECT p.mmsi, any_value(v.vessel_name) AS vessel_name, count(*) AS positions, any_value(b.tracks) AS tracks
+            {named_join} LEFT JOIN built b ON p.mmsi = b.mmsi GROUP BY p.mmsi""",
         "wkb_round_trip": f"WITH {CLEAN} SELECT mmsi, ts, lon, lat FROM clean",
         "import_summary": f"""{ALL_TRACKS}, {NAMED}
             SELECT (SELECT count(*) FROM clean) AS positions_written,
@@ -458,6 +463,6 @@ def oracle_sql() -> dict[str, str]:
                    round(CAST(p.cog AS DOUBLE), 4) AS bearing,
                    CASE p.nav_status WHEN 0 THEN 'Under way (engine)' WHEN 5 THEN 'Moored' END AS status,
                    COALESCE(v.vessel_name, 'MMSI ' || p.mmsi) AS name,
-                   concat_ws(' · ', v.ship_type_desc, {_SOG_TEXT}) AS summary, {_WKT} AS wkt
+                   concat_ws(' · ', v.ship_type_desc, {_SOG_TEXT}) AS summary, {_COG_TEXT} AS course, {_WKT} AS wkt
             {named_join}""",
     }

@@ -54,7 +54,8 @@ def import_stream(
 
     Tracks are built from the stored positions when asked for (``plans.queries.tracks_on_the_fly``).
     A batch that is run again after a failure is written by the file sink's exactly-once protocol; the
-    metadata upsert gives the same result when repeated.
+    metadata upsert gives the same result when repeated. For that the sink keeps a log of its files, and
+    readers of the folder see the logged files only: feed a store by stream or by import, not by both.
     """
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
 
