@@ -12,23 +12,30 @@ from pyspark.sql import functions as F
 # The 64 payload characters in order of their value, the same for base64.
 ARMOUR = "".join(map(chr, [*range(48, 88), *range(96, 120)]))
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+# The same values as consecutive characters from "0" on.
+CONSECUTIVE = "".join(map(chr, range(48, 112)))
+# The 64 characters of text fields in order of their value.
+TEXT = "".join(map(chr, [*range(64, 96), *range(32, 64)]))
 VALID_PAYLOAD = r"^[0-W`-w]+$"
 
 
 def with_bits(messages: DataFrame) -> DataFrame:
-    """Adds ``_hex`` and ``_bits`` (number of payload bits) and drops undecodable payloads."""
+    """Adds ``_hex``, ``_bits`` (number of payload bits) and ``_even``, dropping undecodable payloads.
+
+    ``_even`` is the payload in consecutive characters, from which text fields are read.
+    """
     padded = F.rpad("payload", (F.ceil(F.length("payload") / 4) * 4).cast("int"), F.lit("0"))
     return (
         messages.filter(F.col("payload").rlike(VALID_PAYLOAD))
+        .withColumn("_even", F.translate("payload", ARMOUR, CONSECUTIVE))
         .withColumn("_bits", F.length("payload") * 6)
         .withColumn("_hex", F.hex(F.unbase64(F.translate(padded, ARMOUR, BASE64))))
     )
 
 
-def _digits(start: int | Column, width: int) -> Column:
+def _digits(start: int, width: int) -> Column:
     """Number held by ``width`` hexadecimal digits from a 0-based digit on."""
-    place = F.lit(start + 1) if isinstance(start, int) else start + 1
-    return F.conv(F.substring("_hex", place, F.lit(width)), 16, 10).try_cast("bigint")
+    return F.conv(F.substring("_hex", start + 1, width), 16, 10).try_cast("bigint")
 
 
 def unsigned(start: int, bits: int) -> Column:
@@ -46,13 +53,17 @@ def signed(start: int, bits: int) -> Column:
 
 def text(start: int, chars: int) -> Column:
     """Text field of six-bit characters; characters behind the end of the payload are left out."""
+    first, offset = divmod(start, 6)
+
+    def code(i: Column) -> Column:
+        return F.ascii(F.substring("_even", i + (first + 1), F.lit(1))) - 48
 
     def one(i: Column) -> Column:
-        begin = i * 6 + start
-        # Three digits (12 bits) from the digit that holds the first bit; 0 to 3 bits lie before it.
-        window = _digits(F.floor(begin / 4).cast("int"), 3)
-        value = F.floor(window / F.pow(F.lit(2), 6 - begin % 4)).cast("bigint").bitwiseAND(F.lit(63))
-        letter = F.char(F.when(value < 32, value + 64).otherwise(value))
-        return F.when(F.col("_bits") >= begin + 6, letter).otherwise("")
+        value = code(i)
+        if offset:
+            # The character lies across two payload characters.
+            value = F.shiftleft(value, offset).bitwiseOR(F.shiftright(code(i + 1), 6 - offset)).bitwiseAND(F.lit(63))
+        letter = F.substring(F.lit(TEXT), value + 1, F.lit(1))
+        return F.when(F.col("_bits") >= i * 6 + (start + 6), letter).otherwise("")
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(chars - 1)), one), "")

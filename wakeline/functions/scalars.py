@@ -88,8 +88,9 @@ UNKNOWN_MARKERS = ["unknown", "undefined", "n/a"]
 
 
 def strip(text: Column) -> Column:
-    """Remove blanks, tabs and line ends on both sides."""
-    return F.trim(text, F.lit(" \t\n\r\f\v"))
+    """Remove blanks, tabs and line ends on both sides; most text has none and is passed on untouched."""
+    edges = (F.substring(text, 1, 1) <= " ") | (F.substring(text, -1, 1) <= " ")
+    return F.when(edges, F.trim(text, F.lit(" \t\n\r\f\v"))).otherwise(text)
 
 
 def strict_long(text: Column) -> Column:

@@ -61,36 +61,42 @@ def parse_counts(lines: DataFrame, fallback: str | None = None) -> DataFrame:
 
 
 def _fields(lines: DataFrame, fallback: str | None) -> DataFrame:
-    line, mark = F.col("_line"), F.lit("\\")
-    # A tag block stands between two backslashes before the sentence. These tests are plain text searches:
-    # the filters below repeat them, which regular expressions would make dear.
+    line, sentence = F.col("_line"), F.col("_s")
+    # A tag block stands between two backslashes before the sentence.
     behind_tags = F.substr(line, F.locate("\\", line, 2) + 1)
     after_tag = [behind_tags.startswith(start) & (F.length(behind_tags) > len(start)) for start in TAGGED_SENTENCES]
     tagged = line.startswith("\\") & (after_tag[0] | after_tag[1])
-    sentence, tags = F.col("_s"), F.when(tagged, F.split_part(line, mark, F.lit(2)))
-    epoch = F.regexp_extract(tags, TAG_EPOCH, 1).try_cast("bigint")
+    parts = {
+        "_s": F.when(tagged, behind_tags).otherwise(line),
+        "_tags": F.when(tagged, F.split_part(line, F.lit("\\"), F.lit(2))),
+    }
+    epoch = F.regexp_extract("_tags", TAG_EPOCH, 1).try_cast("bigint")
     at = F.when(epoch > MILLIS_ABOVE, F.timestamp_millis(epoch)).otherwise(F.timestamp_seconds(epoch))
     default = X.at(fallback) if fallback else F.lit(None).cast("timestamp")
-    commas = F.length(sentence) - F.length(F.replace(sentence, F.lit(","), F.lit("")))
 
     def field(i: int) -> Column:
-        return X.strip(F.split_part(sentence, F.lit(","), F.lit(i + 1)))
+        return F.split_part(sentence, F.lit(","), F.lit(i + 1))
+
+    fields = {
+        "commas": F.length(sentence) - F.length(F.replace(sentence, F.lit(","), F.lit(""))),
+        "total": field(1).try_cast("int"),
+        "num": field(2).try_cast("int"),
+        "key": F.concat_ws("|", F.trim(field(4)), F.trim(field(3))),
+        "payload": F.trim(field(5)),
+        "ts": F.coalesce(at, default),
+    }
+    read = lines.filter(F.col("value").contains(SENTENCE)).select("seq", X.strip(F.col("value")).alias("_line"))
+    return _once(_once(read, parts).filter(sentence.startswith(SENTENCE)), fields)
 
-    return (
-        lines.filter(F.col("value").contains(SENTENCE))
-        .withColumn("_line", X.strip(F.col("value")))
-        .withColumn("_s", F.when(tagged, behind_tags).otherwise(line))
-        .filter(sentence.startswith(SENTENCE))
-        .select(
-            commas.alias("commas"),
-            field(1).try_cast("int").alias("total"),
-            field(2).try_cast("int").alias("num"),
-            F.concat_ws("|", field(4), field(3)).alias("key"),
-            field(5).alias("payload"),
-            F.coalesce(at, default).alias("ts"),
-            "seq",
-        )
-    )
+
+def _once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``seq`` and new columns, each computed once per row.
+
+    A filter on a selected expression is moved below the selection, together with a copy of the
+    expression; for text parsed in several steps the copies multiply. Filters do not move below ``inline``.
+    """
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    return df.select("seq", F.inline_outer(F.array(row)))
 
 
 def assemble(sentences: DataFrame, file: Column | None = None, block: Column | None = None) -> DataFrame:
