@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wakeline.llm import near_text
+from wakeline.llm import decontaminate, near_text
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +17,47 @@ def op6_minhash_near_dedup(spark, sf):
     return near_text.near_duplicates(table(spark, sf, "documents"))
 
 
+def op8_benchmark_decontamination(spark, sf):
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def registered() -> dict[str, Query]:
-    found = [op6_minhash_near_dedup]
+    found = [op6_minhash_near_dedup, op8_benchmark_decontamination]
     return {f.__name__: f for f in found}
 
 
+# Words of a text, as the decontamination query takes them.
+_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+OP8 = f"""
+WITH item AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS (
+    SELECT DISTINCT item, list_slice(w, s, s + 9) AS win, least(len(w), 10) AS size
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM item WHERE len(w) > 0)
+),
+doc AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+piece AS (
+    SELECT doc_id, s, size, list_slice(w, s, s + size - 1) AS win
+    FROM (
+        SELECT doc_id, w, size, unnest(range(1, greatest(len(w) - size + 1, 0) + 1)) AS s
+        FROM doc, (SELECT DISTINCT size FROM win)
+    )
+),
+hit AS (SELECT DISTINCT doc_id, s, piece.size AS size, item FROM piece JOIN win USING (win)),
+hit_word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id),
+found AS (
+    SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit_word USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_benchmark_decontamination": OP8}
