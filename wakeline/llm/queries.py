@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontaminate, near_text
+from wakeline.llm import decontaminate, near_text, packing, passages
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,21 @@ def op8_benchmark_decontamination(spark, sf):
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op9_packing(spark, sf):
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    return packed.select(*columns)
+
+
+def op10_suffix_array_dedup(spark, sf):
+    found = passages.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def registered() -> dict[str, Query]:
-    found = [op6_minhash_near_dedup, op8_benchmark_decontamination]
+    found = [op6_minhash_near_dedup, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
     return {f.__name__: f for f in found}
 
 
