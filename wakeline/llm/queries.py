@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontaminate, near_text, packing, passages
+from wakeline.llm import decontaminate, language, near_text, packing, passages
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.train(language.training_sample(docs, "doc_id", "text", "lang"))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "n_words")
+
+
 def op6_minhash_near_dedup(spark, sf):
     return near_text.near_duplicates(table(spark, sf, "documents"))
 
@@ -37,7 +44,7 @@ def op10_suffix_array_dedup(spark, sf):
 
 
 def registered() -> dict[str, Query]:
-    found = [op6_minhash_near_dedup, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
+    found = [op2_language_id, op6_minhash_near_dedup, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
     return {f.__name__: f for f in found}
 
 
