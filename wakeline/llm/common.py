@@ -25,6 +25,35 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+LEAST_BITS, MOST_BITS = 16, 22
+
+
+def bit_table(values: DataFrame) -> tuple[Column, int]:
+    """A bit table over the values of one column, as an array of longs, and the logarithm of its size in bits.
+
+    Rows that do not pass it cannot join with the values. Its size follows their number, from 2^16 to 2^22 bits (512 kB);
+    beyond that more rows pass, and the join that follows decides as before.
+    """
+    size = values.count()
+    log = min(max((16 * size).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.pmod(F.xxhash64(values.columns[0]), F.lit(1 << log))
+    slots = (
+        values.select(place.alias("p"))
+        .groupBy(F.shiftright("p", 6).alias("slot"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    )
+    table = ["0"] * (1 << (log - 6))
+    for row in slots.collect():  # at most 2^16 rows, whatever the input
+        table[row.slot] = str(row.bits)
+    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>"), log
+
+
+def passes(column: str, table: Column, log: int) -> Column:
+    place = F.pmod(F.xxhash64(column), F.lit(1 << log))
+    bits = F.get(table, F.shiftright(place, 6).cast("int"))
+    return F.call_function("shiftright", bits, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

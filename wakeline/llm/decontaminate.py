@@ -23,12 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import lower_ascii
+from wakeline.llm.common import bit_table, lower_ascii, passes
 from wakeline.session import stage
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LEAST_BITS, MOST_BITS = 16, 22
 
 
 def words(text: Column) -> Column:
@@ -36,28 +35,6 @@ def words(text: Column) -> Column:
     return F.coalesce(split, F.array().cast("array<string>"))
 
 
-def _bit_table(tokens: DataFrame) -> tuple[Column, int]:
-    """A bit table over one string column, as an array of longs, and the logarithm of its size in bits."""
-    size = tokens.count()
-    log = min(max((16 * size).bit_length(), LEAST_BITS), MOST_BITS)
-    place = F.pmod(F.xxhash64(tokens.columns[0]), F.lit(1 << log))
-    slots = (
-        tokens.select(place.alias("p"))
-        .groupBy(F.shiftright("p", 6).alias("slot"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    )
-    table = ["0"] * (1 << (log - 6))
-    for row in slots.collect():  # at most 2^16 rows, whatever the input
-        table[row.slot] = str(row.bits)
-    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>"), log
-
-
-def _passes(word: str, table: Column, log: int) -> Column:
-    place = F.pmod(F.xxhash64(word), F.lit(1 << log))
-    bits = F.get(table, F.shiftright(place, 6).cast("int"))
-    return F.call_function("shiftright", bits, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-
-
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Rows (item, window): the distinct windows of every item, words joined by one space."""
     named = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
@@ -75,22 +52,22 @@ def occurrences(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame
     keys = [c for c in docs.columns if c != text_col]
     placed = windows.select("window", F.posexplode(F.split("window", " ")).alias("at", "word"))
     vocabulary = stage(placed.select("word").distinct(), "vocabulary")
-    table, log = _bit_table(vocabulary)
+    table, log = bit_table(vocabulary)
     spread = docs.select(words(F.col(text_col)).alias("w"))
     counts = (
-        spread.select(F.explode("w").alias("word")).where(_passes("word", table, log)).groupBy("word").agg(F.count("*").alias("n"))
+        spread.select(F.explode("w").alias("word")).where(passes("word", table, log)).groupBy("word").agg(F.count("*").alias("n"))
     )
     rarity = placed.join(vocabulary.join(counts, "word", "left"), "word")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("r")
     prefix = rarity.groupBy("window").agg(rarest).where("r.n > 0")
     prefix = stage(prefix.select("window", "r.word", "r.at"), "prefix")
 
-    table, log = _bit_table(prefix.select("word").distinct())
+    table, log = bit_table(prefix.select("word").distinct())
     around = WINDOW - 1
     near = (
         docs.select(*keys, words(F.col(text_col)).alias("w"))
         .select(*keys, "w", F.posexplode("w").alias("pos", "word"))
-        .where(_passes("word", table, log))
+        .where(passes("word", table, log))
         .select(
             *keys,
             "word",
