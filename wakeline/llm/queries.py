@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontaminate, language, near_text, packing, passages
+from wakeline.llm import decontaminate, language, line_chunks, near_text, near_vectors, packing, passages
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark, sf):
+    found = line_chunks.remove_repeated_chunks(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_chunks_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     model = language.train(language.training_sample(docs, "doc_id", "text", "lang"))
@@ -20,6 +25,10 @@ def op2_language_id(spark, sf):
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op3_embedding_near_dedup(spark, sf):
+    return near_vectors.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def op6_minhash_near_dedup(spark, sf):
     return near_text.near_duplicates(table(spark, sf, "documents"))
 
@@ -44,7 +53,7 @@ def op10_suffix_array_dedup(spark, sf):
 
 
 def registered() -> dict[str, Query]:
-    found = [op2_language_id, op6_minhash_near_dedup, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
+    found = [op1_line_dedup, op2_language_id, op3_embedding_near_dedup, op6_minhash_near_dedup, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -79,5 +88,94 @@ FROM doc LEFT JOIN hit_word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+OP1 = """
+WITH doc AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+line AS (
+    SELECT doc_id, i, len(lines) AS n, lines[i] AS line, ('0x' || substr(md5(lines[i]), 1, 8))::BIGINT AS h
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM doc)
+),
+roll AS (SELECT *, coalesce(lag(h) OVER by_doc, 0) * 31 + h AS r FROM line WINDOW by_doc AS (PARTITION BY doc_id ORDER BY i)),
+mark AS (
+    SELECT *, i = n OR coalesce(r < lag(r) OVER by_doc AND r <= lead(r) OVER by_doc, false) AS is_end
+    FROM roll WINDOW by_doc AS (PARTITION BY doc_id ORDER BY i)
+),
+numbered AS (
+    SELECT *, sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i) - is_end::INT AS chunk_no FROM mark
+),
+chunk AS (
+    SELECT doc_id, chunk_no, min(i) AS first, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk
+    FROM numbered GROUP BY doc_id, chunk_no
+),
+gone AS (
+    SELECT doc_id, first, size
+    FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS FIRST, first) AS copy FROM chunk WHERE size >= 2)
+    WHERE copy > 1
+),
+kept AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept
+    FROM line WHERE NOT EXISTS (
+        SELECT 1 FROM gone WHERE gone.doc_id = line.doc_id AND line.i BETWEEN gone.first AND gone.first + gone.size - 1
+    )
+    GROUP BY doc_id
+),
+total AS (SELECT doc_id, sum(size)::BIGINT AS n_removed, count(*) AS n_chunks_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_chunks_removed, 0) AS n_chunks_removed,
+       CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM doc LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+# Vectors that can link, their pairs, and components by repeated minima.
+OP3 = """
+WITH RECURSIVE vec AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vec a, vec b
+    WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+component AS (SELECT a AS vec_id, least(a, min(b)) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN component USING (vec_id)
+"""
+
+OP6 = """
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents WHERE text IS NOT NULL
+),
+shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + 4), ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM doc WHERE len(w) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingle x JOIN shingle y USING (g)
+    WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+),
+link AS (
+    SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * pair.n >= 85 * (p.n + q.n - pair.n)
+),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+component AS (SELECT a AS doc_id, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN component USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_benchmark_decontamination": OP8}
+    return {
+        "op1_line_dedup": OP1,
+        "op3_embedding_near_dedup": OP3,
+        "op6_minhash_near_dedup": OP6,
+        "op8_benchmark_decontamination": OP8,
+    }
