@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontaminate, language, line_chunks, near_text, near_vectors, packing, passages
+from wakeline.llm import chat, decontaminate, language, line_chunks, near_text, near_vectors, packing, passages
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,23 @@ def op6_minhash_near_dedup(spark, sf):
     return near_text.near_duplicates(table(spark, sf, "documents"))
 
 
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_formatting(spark, sf):
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text"),
+    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    # Null fields are written too, so that every row has the same field paths.
+    record = F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"})
+    turns = chat.canonical_turns(rows.select("conv_id", record.alias("record")), "conv_id", "record")
+    return chat.conversation_digests(chat.formatted_turns(turns))
+
+
 def op8_benchmark_decontamination(spark, sf):
     found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -53,7 +70,7 @@ def op10_suffix_array_dedup(spark, sf):
 
 
 def registered() -> dict[str, Query]:
-    found = [op1_line_dedup, op2_language_id, op3_embedding_near_dedup, op6_minhash_near_dedup, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
+    found = [op1_line_dedup, op2_language_id, op3_embedding_near_dedup, op6_minhash_near_dedup, op7_chat_formatting, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -172,10 +189,31 @@ FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN component USING (doc_id)
 """
 
 
+OP7 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+sized AS (
+    SELECT *, length(regexp_replace(role, '(\\|### |</turn>|:|\n)', '\\\1', 'g')) AS role_size,
+              length(regexp_replace(text, '(\\|### |</turn>)', '\\\1', 'g')) AS text_size
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + role_size + text_size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1,
         "op3_embedding_near_dedup": OP3,
         "op6_minhash_near_dedup": OP6,
+        "op7_chat_formatting": OP7,
         "op8_benchmark_decontamination": OP8,
     }
