@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import chat, decontaminate, language, line_chunks, near_text, near_vectors, packing, passages
+from wakeline.llm import (
+    chat,
+    decontaminate,
+    language,
+    licenses,
+    line_chunks,
+    near_text,
+    near_vectors,
+    packing,
+    passages,
+    urls,
+)
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +40,20 @@ def op3_embedding_near_dedup(spark, sf):
     return near_vectors.near_duplicates(table(spark, sf, "embeddings"))
 
 
+def op4_license_scan(spark, sf):
+    found = licenses.scan(table(spark, sf, "documents"), licenses.known_digests(spark))
+    return found.select("doc_id", "license", "n_notices", F.array_join("licenses", ",").alias("licenses"))
+
+
+def op5_url_filter(spark, sf):
+    """The list's own verdicts on pages are the labelled URLs that the classifier learns the other verdicts from."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    by_rule = urls.judge(pages, None, urls.RULES).where("rule IS NOT NULL")
+    model = urls.train(by_rule.select("url", F.col("verdict").alias("label")))
+    found = urls.judge(pages, model, urls.RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op6_minhash_near_dedup(spark, sf):
     return near_text.near_duplicates(table(spark, sf, "documents"))
 
@@ -70,7 +95,7 @@ def op10_suffix_array_dedup(spark, sf):
 
 
 def registered() -> dict[str, Query]:
-    found = [op1_line_dedup, op2_language_id, op3_embedding_near_dedup, op6_minhash_near_dedup, op7_chat_formatting, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
+    found = [op1_line_dedup, op2_language_id, op3_embedding_near_dedup, op4_license_scan, op5_url_filter, op6_minhash_near_dedup, op7_chat_formatting, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -209,10 +234,49 @@ FROM sized GROUP BY conv_id
 """
 
 
+def _op4() -> str:
+    """Made from the operator's fixed values; the rules are written out again."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    unified = "lower(line)"
+    for spelling, other in licenses.SPELLINGS:
+        unified = f"replace({unified}, {quoted(spelling)}, {quoted(other)})"
+    known = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(licenses.NOTICES + licenses.TEXTS))
+    return f"""
+WITH known(k, license, text) AS (VALUES {known}),
+unit AS (
+    SELECT 'known' AS kind, k::BIGINT AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM known
+    UNION ALL
+    SELECT 'doc', doc_id, unnest(string_split(text, chr(10))), generate_subscripts(string_split(text, chr(10)), 1) FROM documents
+),
+canon AS (
+    SELECT kind, id, i, trim(regexp_replace({unified}, '[^a-z0-9]+', ' ', 'g')) AS c
+    FROM unit WHERE NOT regexp_matches(lower(line), '^\\W*(copyright\\b|\\(c\\)|©|all rights reserved\\b)')
+),
+whole AS (SELECT kind, id, string_agg(c, ' ' ORDER BY i) AS c FROM canon WHERE c <> '' GROUP BY kind, id),
+digest AS (SELECT c, min(license) AS license FROM whole JOIN known ON k = id WHERE kind = 'known' GROUP BY c),
+found AS (
+    SELECT id, 0 AS is_whole, license FROM canon JOIN digest USING (c) WHERE kind = 'doc'
+    UNION ALL
+    SELECT id, 1, license FROM whole JOIN digest USING (c) WHERE kind = 'doc'
+),
+per_doc AS (
+    SELECT id, min(license) FILTER (is_whole = 1) AS license, sum(1 - is_whole)::BIGINT AS n_notices,
+           string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+    FROM found GROUP BY id
+)
+SELECT doc_id, license, coalesce(n_notices, 0) AS n_notices, coalesce(licenses, '') AS licenses
+FROM documents LEFT JOIN per_doc ON id = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1,
         "op3_embedding_near_dedup": OP3,
+        "op4_license_scan": _op4(),
         "op6_minhash_near_dedup": OP6,
         "op7_chat_formatting": OP7,
         "op8_benchmark_decontamination": OP8,
