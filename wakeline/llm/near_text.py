@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import components, forest, key_groups, mix64, odd_constants
+from wakeline.llm.common import bit_table, components, forest, key_groups, mix64, odd_constants, passes
 from wakeline.session import stage
 
 SHINGLE = 5
 BANDS, ROWS = 21, 6
 REGISTERS = BANDS * ROWS
 FIRST_BANDS = 3
-BLOCK = 512
+BLOCK = 1024
 PER_WALK = 200_000  # elements whose walks run together
 WORD_CACHE = 400_000
 COLUMNS = 4096  # shingles per slice of the comparison
@@ -241,7 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stage(_shared(buckets), "buckets")
 
     wanted = members.select("rep", "fp").distinct()
-    texts = source.where("id IS NOT NULL").join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    wanted_ids = stage(wanted.select(F.col("rep").alias("id")).distinct(), "wanted")
+    may_match = passes("id", *bit_table(wanted_ids))  # keeps most texts out of the shuffle
+    texts = source.where("id IS NOT NULL").where(may_match).join(wanted_ids, "id", "left_semi")
     full = texts.select("id", "text").mapInArrow(_full_sets, "rep long, fp binary, shingles binary")
     sets = stage(full.join(wanted, ["rep", "fp"], "left_semi").dropDuplicates(["rep", "fp"]), "sets")
 
