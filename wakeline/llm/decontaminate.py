@@ -91,7 +91,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items (sorted ids as strings), contaminated."""
+    """One row per document: id, text_hash (xxhash64), n_words, n_hit, n_items, items (sorted ids as strings), contaminated."""
     held = stage(item_windows(items, item_col, item_text_col), "windows")
     source = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), F.col(text_col).alias("_text")
@@ -116,6 +116,7 @@ def contamination(
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return result.select(
         F.col("_id").alias(id_col),
+        F.col("_text_hash").alias("text_hash"),
         "n_words",
         hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

@@ -270,16 +270,19 @@ def judge(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.
     return total / np.maximum(count, 1)[:, None], count
 
 
-def _predict(model: Model | None):
+ANSWERS = {"lang_pred": "string", "score": "double", "n_words": "bigint"}
+
+
+def _predict(model: Model | None, text_at: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            share, count = judge(model, batch.column(1).to_pylist())
+            share, count = judge(model, batch.column(text_at).to_pylist())
             known = count > 0
             best = share.argmax(axis=1) if share.shape[1] else np.zeros(len(count), int)
             lang = [model.languages[b] if w else UNKNOWN for b, w in zip(best, known)]
             score = np.where(known, np.minimum(share.max(axis=1, initial=0), 1.0), 0.0)
-            columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(count)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "n_words"])
+            columns = [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(count)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *ANSWERS])
 
     return run
 
@@ -301,10 +304,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     return sorted((r.lang, r.text) for r in texts.select("lang", "text").collect())
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, lang_pred, score (the mean probability of that language), n_words."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(
-        _predict(model), f"id {kind}, lang_pred string, score double, n_words long"
-    )
-    return rows.withColumnRenamed("id", id_col)
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score (the mean probability of that language) and n_words; columns so named give way."""
+    rows = docs.drop(*[c for c in ANSWERS if c != text_col])
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{c} {k}" for c, k in ANSWERS.items())])
+    return rows.mapInArrow(_predict(model, rows.columns.index(text_col)), kinds)

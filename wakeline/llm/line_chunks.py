@@ -50,9 +50,18 @@ def with_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its columns, n_lines, n_removed (lines), n_chunks_removed, kept (the text that is left)."""
-    source = docs.withColumns({"_hash_of_text": F.xxhash64(text_col), "_id": F.col(id_col)})
-    named = source.select("_id", F.col("_hash_of_text").alias("_th"), F.col(text_col).alias("text"))
+    """One row per row of ``docs``: its columns, n_lines, n_removed (lines), n_chunks_removed, kept (the text that is left).
+
+    Columns of ``docs`` that bear one of these four names give way.
+    """
+    # The row itself travels as one column, so that its names meet none of those used here.
+    source = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.xxhash64(text_col).alias("_th"),
+        F.col(text_col).alias("text"),
+    )
+    named = source.select("_id", "_th", "text")
     parts = with_chunks(named).select("_id", "_th", "lines", F.explode("chunks").alias("c")).where(F.col("c.size") >= LEAST_LINES)
     parts = parts.select("_id", "_th", "c.first", "c.size", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.size")), "\n").alias("chunk"))
     parts = parts.withColumn("key", F.xxhash64("chunk"))
@@ -68,17 +77,19 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("_i", "_t")
         .agg(F.collect_list(F.struct("first", "size")).alias("_gone"), F.sum("size").alias("_n"), F.count("*").alias("_c"))
     )
-    joined = source.join(per_text, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash_of_text") == F.col("_t")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    joined = source.join(per_text, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
+    lines = F.split(F.col("text"), "\n", -1)
     numbers = F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g["first"], g["first"] + g["size"] - 1))))
-    left = F.filter(F.arrays_zip(lines.alias("l"), F.sequence(F.lit(1), F.size(lines)).alias("n")), lambda x: ~F.array_contains("_numbers", x["n"]))
     counted = joined.withColumn("_numbers", numbers)
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda x: x["l"]), "\n"))
+    numbered = F.arrays_zip(lines.alias("l"), F.sequence(F.lit(1), F.size(lines)).alias("n"))
+    left = F.filter(numbered, lambda x: ~F.array_contains("_numbers", x["n"]))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda x: x["l"]), "\n"))
     zero = F.lit(0).cast("long")
-    return counted.select(
-        *docs.columns,
-        F.when(F.col(text_col).isNull(), zero).otherwise(F.size(lines).cast("long")).alias("n_lines"),
-        F.coalesce("_n", zero).alias("n_removed"),
-        F.coalesce("_c", zero).alias("n_chunks_removed"),
-        kept.alias("kept"),
-    )
+    found = {
+        "n_lines": F.when(F.col("text").isNull(), zero).otherwise(F.size(lines).cast("long")),
+        "n_removed": F.coalesce("_n", zero),
+        "n_chunks_removed": F.coalesce("_c", zero),
+        "kept": kept,
+    }
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in found]
+    return counted.select(*own, *[c.alias(name) for name, c in found.items()])

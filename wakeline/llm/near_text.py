@@ -114,7 +114,7 @@ def _fingerprint(s: np.ndarray) -> bytes:
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, n_shingles, fp, bands); fp and bands are null for empty sets."""
+    """(id, text, text hash) to (id, text_hash, n_shingles, fp, bands); fp and bands are null for empty sets."""
     hashes = _WordHashes()
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -131,11 +131,12 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo),
+                    batch.column(2).slice(lo, hi - lo),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["id", "n_shingles", "fp", "bands"],
+                ["id", "text_hash", "n_shingles", "fp", "bands"],
             )
             lo = hi
 
@@ -228,13 +229,14 @@ def _shared(buckets: DataFrame, least: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
+    """One row per document: id, text_hash (xxhash64), n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A and B| >= ``percent`` * |A or B| over their full shingle sets;
     ``component_id`` is the smallest id that links lead to, and the document with that id is kept.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stage(source.mapInArrow(_sign, "id long, n_shingles long, fp binary, bands array<long>"), "signatures")
+    hashed = source.withColumn("text_hash", F.xxhash64("text"))
+    signed = stage(hashed.mapInArrow(_sign, "id long, text_hash long, n_shingles long, fp binary, bands array<long>"), "signatures")
     named = signed.where("n_shingles > 0 AND id IS NOT NULL")
     classes = stage(named.groupBy("fp").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("rep", "fp", F.posexplode("bands").alias("band", "key"))
@@ -257,11 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     grouped = classes.select("fp", "rep").join(found, F.col("rep") == F.col("node"), "left")
     grouped = grouped.select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    result = signed.select("id", "n_shingles", "fp").join(grouped, "fp", "left")
+    result = signed.select("id", "text_hash", "n_shingles", "fp").join(grouped, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     return result.select(
         F.col("id").alias(id_col),
+        "text_hash",
         "n_shingles",
         component.alias("component_id"),
         (F.col("id").isNull() | (component == F.col("id"))).alias("kept"),

@@ -32,7 +32,7 @@ def op1_line_dedup(spark, sf):
 def op2_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     model = language.train(language.training_sample(docs, "doc_id", "text", "lang"))
-    found = language.identify(docs, model)
+    found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "n_words")
 
 
@@ -55,7 +55,7 @@ def op5_url_filter(spark, sf):
 
 
 def op6_minhash_near_dedup(spark, sf):
-    return near_text.near_duplicates(table(spark, sf, "documents"))
+    return near_text.near_duplicates(table(spark, sf, "documents")).drop("text_hash")
 
 
 PROBE = r"\### Assistant: </turn> ok"
