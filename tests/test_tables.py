@@ -220,8 +220,7 @@ def test_stream_of_files(spark, tmp_path):
 
     def run():
         parsed = ST.stream_csv(spark, str(landing), header)
-        for query in ST.import_stream(parsed, store, str(tmp_path / "state")):
-            query.awaitTermination()
+        ST.import_stream(parsed, store, str(tmp_path / "state")).awaitTermination()
 
     row = "219000001,2024-01-15T12:00:{:02d}.{}Z,55,11,5,6,7,0,0,1,{}"
     drop("1.csv", row.format(0, 100, "OLD"), row.format(1, 0, ""), row.format(0, 900, ""))
@@ -229,5 +228,84 @@ def test_stream_of_files(spark, tmp_path):
     drop("2.csv", row.format(1, 500, "NEW"), row.format(2, 0, ""), "1,2024-01-15T12:00:00Z,55,11,5,6,7,0,0,1,")
     run()
     stored = TB.read_positions(spark, store)
-    assert sorted(r.ts.second for r in stored.collect()) == [0, 1, 2]
+    rows = sorted(stored.collect(), key=lambda r: r.ts)
+    assert [(r.ts.second, r.ts.microsecond) for r in rows] == [(0, 100_000), (1, 0), (2, 0)]  # the first to arrive stays
     assert [r.vessel_name for r in TB.read_vessels(spark, store).collect()] == ["NEW"]
+
+
+def test_stream_keeps_late_reports_and_merges_fields(spark, tmp_path):
+    header, stores = PLAIN_HEADER + ",name,destination", []
+    for files in (1, 100):
+        landing, store = tmp_path / f"landing{files}", TB.Store(str(tmp_path / f"out{files}"))
+        landing.mkdir()
+        rows = ["2031-01-01T00:00:00Z,55,11,5,6,7,0,0,1,ALPHA,", "2024-01-15T12:00:00Z,55,11,5,6,7,0,0,1,,KIEL", "2024-01-01T00:00:00Z,9,1,5,6,7,0,0,1,,"]
+        for i, r in enumerate(rows):
+            (landing / f"{i}.csv").write_text(f"{header}\n219000001,{r}\n")
+        parsed = ST.stream_csv(spark, str(landing), header, files)
+        ST.import_stream(parsed, store, str(tmp_path / f"state{files}")).awaitTermination()
+        vessel = TB.read_vessels(spark, store).collect()
+        stores.append((TB.read_positions(spark, store).count(), [(v.vessel_name, v.destination) for v in vessel]))
+    assert stores == [(3, [("ALPHA", "KIEL")])] * 2
+
+
+def test_cell_size_belongs_to_the_store(spark, tmp_path):
+    store = TB.Store(str(tmp_path / "out"))
+    TB.write_positions(positions(spark, [(10.5, 55.5), (12.5, 55.5)]), store, 1.0)
+    TB.write_positions(positions(spark, [(30.5, 55.5)], mmsi=219000002), store, mode="append")
+    read = TB.read_positions(spark, store)
+    assert sorted(r.cell_x for r in read.collect()) == [190, 192, 210]
+    assert Q.filter_positions(read, box=G.Envelope(10, 55, 11, 56)).count() == 1
+    assert Q.filter_positions(read.select("*", F.lit(1)), box=G.Envelope(10, 55, 11, 56)).count() == 1
+    with pytest.raises(ValueError, match="cells of 1.0"):
+        TB.write_positions(positions(spark, [(10.5, 55.5)]), store, 5.0)
+
+
+def test_append_moves_a_track_to_an_earlier_month(spark, tmp_path):
+    store, append = TB.Store(str(tmp_path / "out")), I.ImportOptions(position_mode="append")
+    none = positions(spark, []).select("mmsi", "ts", "seq").limit(0)
+    reports = none.select("mmsi", *[F.lit(None).cast(S.VESSELS[c].dataType).alias(c) for c in S.VESSEL_FIELDS], F.col("ts").alias("last_seen"), "seq")
+    other = positions(spark, [(9, 55), (9.1, 55), (9.2, 55)], mmsi=219000002)
+    february = positions(spark, [(10, 55), (10.1, 55), (10.2, 55)], start=datetime(2024, 2, 1, 0, 10), step=600)
+    january = positions(spark, [(9.8, 55), (9.9, 55)], start=datetime(2024, 1, 31, 23, 50), step=600)
+    for part in (february, other.unionByName(january), january):
+        I.import_rows(part, reports, store, append)
+    got = sorted((t.mmsi, t.point_count, t.date) for t in TB.read_tracks(spark, store).collect())
+    assert got == [(219000001, 5, "2024-01"), (219000002, 3, "2024-01")]
+    assert TB.read_positions(spark, store).count() == 8
+    with pytest.raises(ValueError, match="pre_interval"):
+        I.import_rows(other, reports, store, I.ImportOptions(position_mode="append", pre_interval=60))
+
+
+def test_import_of_archives_and_line_limit(spark, tmp_path):
+    import zipfile
+
+    row = "219000001,2024-01-15T12:{:02d}:00Z,55,{},5,6,7,0,0,1"
+    text = PLAIN_HEADER + "\n" + "".join(row.format(i, 11 + i / 100) + "\n" for i in range(6))
+    log = "!AIVDM,1,1,,A,15RTgt0PAso;90TKcjM8h6g208CQ,0*4A\n# comment\n"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(text)
+    (folder / "b.nmea").write_text(log)
+    with zipfile.ZipFile(folder / "aisdk-2024-01-15.zip", "w") as z:
+        z.writestr("aisdk.csv", text.replace("219000001", "219000002"))
+    with zipfile.ZipFile(folder / "log.zip", "w") as z:
+        z.writestr("log.nmea", log)
+    for limit, want in ((0, 13), (4, 7), (1, 1)):
+        store = TB.Store(str(tmp_path / f"out{limit}"))
+        done = I.import_files(spark, str(folder), store, I.ImportOptions(fallback="2024-01-15 00:00:00", line_limit=limit))
+        assert done.positions_written == want == TB.read_positions(spark, store).count()
+
+
+def test_many_headers_are_read_in_one_job(spark, tmp_path):
+    from wakeline.sources import csv as C
+
+    for i in range(60):
+        (tmp_path / f"{i:02d}.csv").write_text(PLAIN_HEADER + f",x{i % 3}\n219000001,2024-01-15T12:00:{i:02d}Z,55,11,5,6,7,0,0,1,y\n")
+    (tmp_path / "empty.csv").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    rows = C.read_all_rows(spark, str(tmp_path))
+    jobs = len(tracker.getJobIdsForGroup("headers"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs <= 3
+    assert rows.count() == 60

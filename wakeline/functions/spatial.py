@@ -14,6 +14,8 @@ METRES_PER_NM = 1_852.0
 
 # Edge of a grid cell in degrees: about 500 km at the equator.
 CELL_DEG = 5.0
+# Metadata key of the cell_x column of stored positions.
+CELL_SIZE = "cell_deg"
 
 
 def haversine_nm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -278,7 +278,7 @@ def cell_prune(spark, sf):
     """Written table, read back for a box: folders outside the box and the time range are not listed."""
     store = _store(spark)
     TB.write_positions(_clean(spark, sf), store, 1.0)
-    hits = Q.filter_positions(TB.read_positions(spark, store), BOX, cell_deg=1.0, **RANGE)
+    hits = Q.filter_positions(TB.read_positions(spark, store), BOX, **RANGE)
     return hits.select("mmsi", "ts", "lon", "lat", "cell_x", "cell_y")
 
 
@@ -356,14 +356,51 @@ def import_summary(spark, sf):
     )
 
 
+def _accumulated(spark, sf) -> TB.Store:
+    """Two overlapping deliveries of one month, imported one after the other."""
+    store = _store(spark)
+    options = I.ImportOptions(position_mode="append", vessel_mode="upsert")
+    for delivery in R.overlapping_csv_files(spark, sf):
+        I.import_files(spark, delivery, store, options)
+    return store
+
+
+def accumulated_positions(spark, sf):
+    return TB.read_positions(spark, _accumulated(spark, sf)).select(*S.POSITION_COLS)
+
+
+def accumulated_vessels(spark, sf):
+    return TB.read_vessels(spark, _accumulated(spark, sf))
+
+
+def accumulated_tracks(spark, sf):
+    tracks = TB.read_tracks(spark, _accumulated(spark, sf))
+    return tracks.select("mmsi", "voyage_id", "point_count", "start_time", "end_time", "date")
+
+
+def _streamed(spark, sf, files_per_batch: int) -> TB.Store:
+    store = _store(spark)
+    parsed = ST.stream_csv(spark, R.landing_csv_files(spark, sf), R.DAILY_HEADER, files_per_batch)
+    ST.import_stream(parsed, store, scratch_path(spark, "stream")).awaitTermination()
+    return store
+
+
 def streamed_positions(spark, sf):
-    """The CSV files read as a stream into the position table, repeats removed by watermarked state."""
-    source, store = R.import_csv_files(spark, sf), _store(spark)
-    parsed = ST.stream_csv(spark, source, R.DAILY_HEADER)
-    for query in ST.import_stream(parsed, store, scratch_path(spark, "stream")):
-        query.awaitTermination()
-    stored = TB.read_positions(spark, store)
-    return stored.select("mmsi", X.epoch_second(F.col("ts")).alias("second"))
+    """Files read as a stream, one in a batch, with late days and a clock that runs ahead."""
+    return TB.read_positions(spark, _streamed(spark, sf, 1)).select(*S.POSITION_COLS)
+
+
+def streamed_positions_batched(spark, sf):
+    """The same in batches of up to 100 files: the result does not depend on the batches."""
+    return TB.read_positions(spark, _streamed(spark, sf, 100)).select(*S.POSITION_COLS)
+
+
+def streamed_vessels(spark, sf):
+    return TB.read_vessels(spark, _streamed(spark, sf, 1))
+
+
+def streamed_vessels_batched(spark, sf):
+    return TB.read_vessels(spark, _streamed(spark, sf, 100))
 
 
 # --- display values -------------------------------------------------------------------------------
@@ -394,7 +431,9 @@ QUERIES: dict[str, Query] = {
         positions_at_box, positions_series, vessel_search, vessel_suggest, downsample_10s, pre_downsample_60s,
         segment_flags, track_build, track_build_pre60, track_summary, tracks_bbox, tracks_geojson,
         tracks_on_the_fly, partition_bbox, cell_prune, stored_positions, stored_tracks, stored_vessels, sql_views,
-        wkb_round_trip, compacted_positions, backfilled_positions, import_summary, streamed_positions, ship_class,
+        wkb_round_trip, compacted_positions, backfilled_positions, import_summary, accumulated_positions,
+        accumulated_vessels, accumulated_tracks, streamed_positions, streamed_positions_batched, streamed_vessels,
+        streamed_vessels_batched, ship_class,
     )
 }
 

@@ -127,6 +127,34 @@ def _plain_number(c: str) -> str:
     return f"regexp_replace(regexp_replace(printf('%.10f', {c}), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
 
 
+# What the daily files carry of a position, as it is stored.
+_STORED_VALUES = f"""mmsi, date_trunc('millisecond', ts) AS ts, lat, lon, {_f('sog')} AS sog, {_f('cog')} AS cog, heading,
+nav_status, {_f('rot')} AS rot, CAST(NULL AS INTEGER) AS msg_type"""
+_FUTURE = "TIMESTAMP '2031-05-06 07:08:09'"
+_STREAMED_POSITIONS = f"""WITH {CLEAN} SELECT {_STORED_VALUES} FROM clean
+UNION ALL SELECT 219999999, {_FUTURE}, 55.5, 10.25, NULL, NULL, NULL, NULL, NULL, NULL"""
+_STREAMED_VESSELS = f"""WITH {RAW},
+report AS (
+  SELECT mmsi, ts, seq, seq // 10000000 AS phase FROM raw UNION ALL SELECT 219999999, {_FUTURE}, 0, 0),
+told AS (
+  SELECT *, CASE WHEN phase % 2 = 0 THEN 'V ' || mmsi || ' ' || phase END AS name,
+         CASE WHEN phase % 2 = 1 THEN 'PORT ' || phase END AS port
+  FROM report)
+SELECT mmsi, CAST(NULL AS BIGINT) AS imo, max_by(name, seq) FILTER (name IS NOT NULL) AS vessel_name,
+       CAST(NULL AS VARCHAR) AS callsign, CAST(NULL AS INTEGER) AS ship_type, CAST(NULL AS VARCHAR) AS ship_type_desc,
+       CAST(mmsi % 300 + 1 AS DOUBLE) AS length_m, CAST(NULL AS DOUBLE) AS beam_m, CAST(NULL AS DOUBLE) AS draught_m,
+       max_by(port, seq) FILTER (port IS NOT NULL) AS destination,
+       date_trunc('millisecond', max_by(ts, seq)) AS last_seen
+FROM told GROUP BY mmsi"""
+_ACCUMULATED_VESSELS = f"""WITH {RAW}, {NAMED},
+part AS (
+  SELECT *, 1 AS delivery FROM raw WHERE seq // 10000000 <= 5 UNION ALL SELECT *, 2 FROM raw WHERE seq // 10000000 >= 4),
+seen AS (SELECT mmsi, delivery, max_by(ts, seq) AS at FROM part GROUP BY mmsi, delivery)
+SELECT v.mmsi, imo, vessel_name, callsign, CAST(NULL AS INTEGER) AS ship_type, CAST(NULL AS VARCHAR) AS ship_type_desc,
+       length_m, beam_m, draught_m, destination, date_trunc('millisecond', max(at)) AS last_seen
+FROM seen JOIN named v ON seen.mmsi = v.mmsi GROUP BY ALL"""
+
+
 _WKT = f"'POINT (' || {_plain_number('p.lon')} || ' ' || {_plain_number('p.lat')} || ')'"
 RESULT = f"""p.mmsi, p.ts, {_WKT} AS geom_wkt, {_f('p.sog')} AS sog, {_f('p.cog')} AS cog, p.heading, p.nav_status,
 {_f('p.rot')} AS rot, p.msg_type, v.vessel_name, v.ship_type, v.ship_type_desc, v.length_m"""
@@ -454,7 +482,16 @@ def oracle_sql() -> dict[str, str]:
                    (SELECT count(DISTINCT r.mmsi) FROM raw r JOIN named v ON r.mmsi = v.mmsi) AS vessel_records,
                    count(*) AS tracks_built
             FROM tracks""",
-        "streamed_positions": f"WITH {CLEAN} SELECT mmsi, epoch_us(ts) // 1000000 AS second FROM clean",
+        "accumulated_positions": f"WITH {CLEAN} SELECT {_STORED_VALUES} FROM clean",
+        "accumulated_vessels": _ACCUMULATED_VESSELS,
+        "accumulated_tracks": f"""{ALL_TRACKS}
+            SELECT mmsi, voyage_id, point_count, date_trunc('millisecond', start_time) AS start_time,
+                   date_trunc('millisecond', end_time) AS end_time, strftime(start_time, '%Y-%m') AS date
+            FROM tracks""",
+        "streamed_positions": _STREAMED_POSITIONS,
+        "streamed_positions_batched": _STREAMED_POSITIONS,
+        "streamed_vessels": _STREAMED_VESSELS,
+        "streamed_vessels_batched": _STREAMED_VESSELS,
         "ship_class": f"""WITH {CLEAN}, {NAMED}
             SELECT p.mmsi, p.ts,
                    CASE WHEN v.ship_type IS NOT NULL THEN {_CATEGORY_OF.format(c='v.ship_type')} ELSE 'other' END AS category,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wakeline import schema as S
 from wakeline.functions.scalars import at as time_at
-from wakeline.functions.spatial import CELL_DEG, Envelope, line_geojson, point_wkt
+from wakeline.functions.spatial import CELL_SIZE, Envelope, line_geojson, point_wkt
 from wakeline.operators.snapshots import latest_per_vessel, snapshot_series
 from wakeline.operators.tracks import build_tracks
 from wakeline.operators.validate import clean
@@ -32,18 +32,19 @@ def filter_positions(
     mmsi: int | None = None,
     start: str | None = None,
     end: str | None = None,
-    cell_deg: float = CELL_DEG,
 ) -> DataFrame:
     """Positions of a box, vessel and closed time range.
 
-    On the stored table the same bounds are put on its partition columns, which prunes folders. An end
-    given as a date means its midnight.
+    On the stored table the same bounds are put on its partition columns, which prunes folders. The cell size is
+    the store's own (see ``read_positions``); without it, cells are not pruned by. An end given as a date means its
+    midnight.
     """
     tests: list[Column] = []
     stored = "date" in positions.columns
+    cell_deg = positions.schema["cell_x"].metadata.get(CELL_SIZE) if "cell_x" in positions.columns else None
     if box is not None:
         tests.append(box.contains_point(F.col("lon"), F.col("lat")))
-        if stored:
+        if cell_deg is not None:
             tests.append(box.covers_cells(F.col("cell_x"), F.col("cell_y"), cell_deg))
     if mmsi is not None:
         tests.append(F.col("mmsi") == mmsi)
@@ -89,12 +90,11 @@ def positions_at(
     mmsi: int | None = None,
     limit: int | None = S.DEFAULT_LIMIT,
     lookback_sec: int = S.LOOKBACK_SEC,
-    cell_deg: float = CELL_DEG,
 ) -> DataFrame:
     """The newest position of each vessel in the hour up to ``at``; the box is applied before choosing."""
     moment = datetime.fromisoformat(at)
     rows = filter_positions(
-        positions, box, mmsi, (moment - timedelta(seconds=lookback_sec)).isoformat(), moment.isoformat(), cell_deg
+        positions, box, mmsi, (moment - timedelta(seconds=lookback_sec)).isoformat(), moment.isoformat()
     )
     newest = latest_per_vessel(rows)
     if limit is not None:

@@ -78,17 +78,63 @@ def static_csv_files(spark: SparkSession, sf_dir: str) -> str:
     return write_csv(rows, cells, DAILY_HEADER, "static-csv")
 
 
-def import_csv_files(spark: SparkSession, sf_dir: str) -> str:
-    """Raw positions with names and numeric types of named vessels, in arrival order, for a whole import."""
-    names = D.named_vessels(spark, sf_dir).select("mmsi", "vessel_name", "length_m")
-    rows = D.raw_positions(spark, sf_dir).join(names, "mmsi", "left")
-    cells = {
+def _import_cells() -> dict[str, Column]:
+    return {
         "# Timestamp": F.date_format("ts", ISO_MICROS), "MMSI": F.col("mmsi"), "Latitude": F.col("lat"),
         "Longitude": F.col("lon"), "Navigational status": F.col("nav_status"), "ROT": F.col("rot"),
         "SOG": F.col("sog"), "COG": F.col("cog"), "Heading": F.col("heading"), "Name": F.col("vessel_name"),
         "Length": F.col("length_m"),
     }
-    return write_csv(rows, cells, DAILY_HEADER, "import-csv")
+
+
+def _import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = D.named_vessels(spark, sf_dir).select("mmsi", "vessel_name", "length_m")
+    return D.raw_positions(spark, sf_dir).join(names, "mmsi", "left")
+
+
+def import_csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """Raw positions with names and numeric types of named vessels, in arrival order, for a whole import."""
+    return write_csv(_import_rows(spark, sf_dir), _import_cells(), DAILY_HEADER, "import-csv")
+
+
+def overlapping_csv_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The same in two deliveries: the second repeats the last part of the first and goes on in the same month."""
+    rows, phase = _import_rows(spark, sf_dir), F.expr(f"seq div {D.SEQ_BLOCK}")
+    return [
+        write_csv(rows.filter(phase <= 5), _import_cells(), DAILY_HEADER, "first-csv"),
+        write_csv(rows.filter(phase >= 4), _import_cells(), DAILY_HEADER, "second-csv"),
+    ]
+
+
+# A report of a clock that runs years ahead, in the first file that arrives.
+FUTURE = {"mmsi": 219999999, "ts": "2031-05-06 07:08:09", "lat": 55.5, "lon": 10.25}
+
+
+def landing_csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """Raw positions as five files that arrive one after another, the last with repeats of all days.
+
+    A vessel's name and destination come in turn, by phase, so that no single file holds all of its fields. One
+    file each, so that the order of modification times is that of ``seq``: input of a test, not of an import.
+    """
+    rows = D.raw_positions(spark, sf_dir)
+    future = spark.range(1).select(
+        *[F.lit(FUTURE[c]).cast(rows.schema[c].dataType).alias(c) for c in FUTURE], F.lit(0).cast("bigint").alias("seq")
+    )
+    rows = rows.unionByName(future, allowMissingColumns=True)
+    phase = F.expr(f"seq div {D.SEQ_BLOCK}")
+    cells = _import_cells() | {
+        "Name": F.when(phase % 2 == 0, F.concat_ws(" ", F.lit("V"), "mmsi", phase.cast("string"))),
+        "Destination": F.when(phase % 2 == 1, F.concat_ws(" ", F.lit("PORT"), phase.cast("string"))),
+        "Length": F.col("mmsi") % 300 + 1,
+    }
+    path = scratch_path(spark, "landing")
+    names = DAILY_HEADER.split(",")
+    text = [cells.get(n, F.lit(None)).cast("string").alias(n) for n in names]
+    parts = [phase <= 2, (phase > 2) & (phase <= 4), (phase > 4) & (phase <= 7), (phase > 7) & (phase < 1000), phase >= 1000]
+    for part in parts:
+        own = rows.filter(part).repartition(1).sortWithinPartitions("seq")
+        own.select(*text).write.mode("append").option("header", "true").csv(path)
+    return path
 
 
 # --- sentences ------------------------------------------------------------------------------------

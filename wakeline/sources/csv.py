@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv as textcsv
 import re
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wakeline import schema as S
 from wakeline.functions import scalars as X
-from wakeline.sources.files import archive_lines, file_order, list_files
+from wakeline.sources.files import archive_lines, file_order, first_lines_by_file, header_lines, list_files
 
 # Quotes may enclose a field and are doubled inside it; a record is always one line.
 OPTIONS = {
@@ -46,55 +45,52 @@ def resolve(fields: list[str]) -> dict[str, int] | None:
     return found if all(f in found for f in S.CSV_REQUIRED) else None
 
 
-def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | list[str], line_limit: int = 0) -> DataFrame:
     """All good rows of the CSV files, with position and metadata columns and ``seq``.
 
     A file without the required columns gives no rows; a row whose required values do not parse is dropped.
+    ``line_limit`` reads that many first lines of each file, its header included.
     """
-    return good_rows(read_all_rows(spark, paths))
+    return good_rows(read_all_rows(spark, paths, line_limit))
 
 
-def read_all_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_all_rows(spark: SparkSession, paths: str | list[str], line_limit: int = 0) -> DataFrame:
     """The same with the bad rows still in.
 
     Files may have different headers: one scan per distinct header.
     """
-    files = list_files(spark, paths)
-    with ThreadPoolExecutor(16) as pool:
-        firsts = list(pool.map(lambda path: spark.read.text(path).head(), files))
     by_header: dict[str, list[str]] = {}
-    for path, first in zip(files, firsts):
-        if first is not None:
-            by_header.setdefault(first.value, []).append(path)
+    for path, header in header_lines(spark, list_files(spark, paths)):
+        by_header.setdefault(header, []).append(path)
     scans = []
     for header, files in by_header.items():
         fields = header_fields(header)
         place = resolve(fields)
-        if place is not None:
+        if place is not None and line_limit != 1:
             layout = ", ".join(f"c{i} string" for i in range(len(fields)))
             raw = spark.read.options(**OPTIONS, header="true").schema(layout).csv(files)
-            scans.append(parse(raw.select("*", file_order().alias("seq")), place, F.col("seq")))
+            rows = first_lines_by_file(raw.select("*", file_order().alias("seq")), max(line_limit - 1, 0))
+            scans.append(parse(rows, place, F.col("seq")))
     return _union(spark, scans)
 
 
-def read_csv_archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_csv_archives(spark: SparkSession, paths: str | list[str], line_limit: int = 0) -> DataFrame:
     """The same for ZIP archives that hold a CSV entry each."""
-    return good_rows(_archive_rows(spark, archive_lines(spark, paths, "csv")))
+    return good_rows(_archive_rows(spark, first_lines_by_file(archive_lines(spark, paths, "csv"), line_limit)))
 
 
 def _archive_rows(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    header_rows = lines.filter("seq.block = 0 and seq.row = 0").select("seq.file", "value").collect()
-    by_header: dict[str, list[str]] = {}
-    for row in header_rows:
-        by_header.setdefault(row.value, []).append(row.file)
+    headers = lines.filter("seq.block = 0 and seq.row = 0").select(F.col("seq.file").alias("_file"), F.col("value").alias("_header"))
+    rows = lines.filter((F.col("seq.row") > 0) & (X.strip(F.col("value")) != ""))
+    rows = rows.join(headers, F.col("seq.file") == F.col("_file"))
     scans = []
-    for header, files in by_header.items():
+    for (header,) in headers.select("_header").distinct().collect():
         fields = header_fields(header)
         place = resolve(fields)
         if place is not None:
             layout = ", ".join(f"c{i} string" for i in range(len(fields)))
-            rows = lines.filter(F.col("seq.file").isin(files) & (F.col("seq.row") > 0) & (X.strip(F.col("value")) != ""))
-            raw = rows.select(F.from_csv("value", layout, OPTIONS).alias("_r"), "seq").select("_r.*", "seq")
+            own = rows.filter(F.col("_header") == header)
+            raw = own.select(F.from_csv("value", layout, OPTIONS).alias("_r"), "seq").select("_r.*", "seq")
             scans.append(parse(raw, place, F.col("seq")))
     return _union(spark, scans)
 

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.session import stage
@@ -73,6 +73,51 @@ def first_lines(lines: DataFrame, n: int) -> DataFrame:
     return lines.orderBy("seq").limit(n) if n > 0 else lines
 
 
+def first_lines_by_file(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of every file in arrival order; 0 means all.
+
+    Each task passes on its first ``n`` rows of a file only, so what meets in one task is ``n`` rows for each split.
+    """
+    if n <= 0:
+        return rows
+    place = F.row_number().over(Window.partitionBy("seq.file").orderBy("seq"))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
+def header_lines(spark: SparkSession, files: list[str]) -> list[tuple[str, str]]:
+    """(file, first line) of all files that are not empty, in one job whose tasks open the files' beginnings.
+
+    A store that only Spark's readers know is read through them, each file's first line as a job of its own.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    system, place = fs.FileSystem.from_uri(path)
+                except (pa.ArrowInvalid, ImportError):
+                    found.append((path, None, False))
+                    continue
+                with system.open_input_stream(place) as raw:
+                    line = io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8", errors="replace").readline()
+                found.append((path, line.rstrip("\r\n") if line else None, True))
+            names = ["file", "value", "reached"]
+            kinds = [pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+
+    paths = spark.createDataFrame([(f,) for f in files], "path string")
+    tasks = max(1, min(len(files), 256))
+    rows = paths.repartition(tasks).mapInArrow(read, "file string, value string, reached boolean").collect()
+    lines = {r.file: r.value for r in rows if r.reached}
+    for path in (r.file for r in rows if not r.reached):
+        first = spark.read.text(path).head()
+        lines[path] = first.value if first is not None else None
+    return [(f, lines[f]) for f in files if lines[f] is not None]
+
+
 def archive_lines(spark: SparkSession, paths: str | list[str], fmt: str) -> DataFrame:
     """Lines of the chosen entry of each ZIP archive, as ``text_lines`` gives them.
 

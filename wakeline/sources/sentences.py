@@ -11,7 +11,7 @@ from wakeline import schema as S
 from wakeline.functions import payload as P
 from wakeline.functions import scalars as X
 from wakeline.session import stage
-from wakeline.sources.files import archive_lines, text_lines
+from wakeline.sources.files import archive_lines, first_lines_by_file, text_lines
 
 # Sentence starts, and the epoch inside a tag block.
 SENTENCE = "!AI"
@@ -26,12 +26,16 @@ STATIC_TYPE_A = 5
 STATIC_TYPE_B = 24
 
 
-def read_sentences(spark: SparkSession, paths: str | list[str], fallback: str | None = None) -> DataFrame:
-    return assemble(sentence_fields(text_lines(spark, paths), fallback))
+def read_sentences(
+    spark: SparkSession, paths: str | list[str], fallback: str | None = None, line_limit: int = 0
+) -> DataFrame:
+    return assemble(sentence_fields(first_lines_by_file(text_lines(spark, paths), line_limit), fallback))
 
 
-def read_sentence_archives(spark: SparkSession, paths: str | list[str], fallback: str | None = None) -> DataFrame:
-    return assemble(sentence_fields(archive_lines(spark, paths, "nmea"), fallback))
+def read_sentence_archives(
+    spark: SparkSession, paths: str | list[str], fallback: str | None = None, line_limit: int = 0
+) -> DataFrame:
+    return assemble(sentence_fields(first_lines_by_file(archive_lines(spark, paths, "nmea"), line_limit), fallback))
 
 
 def sentence_fields(lines: DataFrame, fallback: str | None = None) -> DataFrame:
@@ -45,11 +49,10 @@ def sentence_fields(lines: DataFrame, fallback: str | None = None) -> DataFrame:
 
 def parse_counts(lines: DataFrame, fallback: str | None = None) -> DataFrame:
     """One row: sentences read, skipped for their fields, assembled messages, positions, vessel reports."""
-    usable = F.expr("commas >= 5 and total is not null and num is not null")
-    read = _fields(lines, fallback).agg(
-        F.count("*").alias("sentences"), F.count_if(~F.coalesce(usable, F.lit(False))).alias("skipped")
-    )
-    messages = stage(assemble(sentence_fields(lines, fallback)), "messages")
+    usable = F.coalesce(F.expr("commas >= 5 and total is not null and num is not null"), F.lit(False))
+    fields = stage(_fields(lines, fallback).withColumn("usable", usable), "fields")
+    read = fields.agg(F.count("*").alias("sentences"), F.count_if(~F.col("usable")).alias("skipped"))
+    messages = stage(assemble(fields.filter("usable").drop("usable", "commas")), "messages")
     counts = [
         read,
         messages.agg(F.count("*").alias("messages")),
@@ -108,6 +111,8 @@ def assemble(sentences: DataFrame, file: Column | None = None, block: Column | N
     version of each part. ``file`` and ``block`` default to the fields of the scan's ``seq``; ``block``
     must grow with ``seq`` and bounds how many rows are ordered together.
     """
+    # The typed sentences are staged, so that the log is read once; whole messages and parts come from this copy.
+    sentences = stage(sentences.filter("total >= 0"), "sentences")
     single = sentences.filter("total = 1").select("payload", "ts", "seq")
     multi = sentences.filter("total <> 1 and total >= 0 and num >= 1").withColumns(
         {
@@ -115,7 +120,6 @@ def assemble(sentences: DataFrame, file: Column | None = None, block: Column | N
             "_block": F.col("seq.block") if block is None else block,
         }
     )
-    # Few of a log's lines, used several times below: staged, so that the log is not read again each time.
     parts = stage(multi, "parts")
     if parts.isEmpty():
         return single

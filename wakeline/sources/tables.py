@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wakeline import schema as S
-from wakeline.functions.scalars import month_key, to_millis
-from wakeline.functions.spatial import CELL_DEG, cell_x, cell_y
+from wakeline.functions.scalars import epoch_second, month_key, to_millis
+from wakeline.functions.spatial import CELL_DEG, CELL_SIZE, cell_x, cell_y
 from wakeline.functions.wkb import decode_paths, decode_points, path_wkb, point_wkb
 from wakeline.operators.vessels import upsert
 from wakeline.session import scratch_path, stage
@@ -27,6 +27,7 @@ _STORED_POSITIONS = T.StructType(
         T.StructField("cell_y", T.IntegerType()),
     ]
 )
+_LAYOUT = T.StructType([T.StructField("cell_deg", T.DoubleType())])
 _STORED_TRACKS = T.StructType([*S.TRACKS.fields, T.StructField("date", T.StringType())])
 
 
@@ -48,6 +49,10 @@ class Store:
     def tracks(self) -> str:
         return f"{self.root.rstrip('/')}/tracks"
 
+    @property
+    def layout(self) -> str:
+        return f"{self.root.rstrip('/')}/layout"
+
     @property
     def catalog(self) -> str:
         return f"{self.root.rstrip('/')}/position_partitions"
@@ -57,7 +62,32 @@ class Store:
 
 
 def read_positions(spark: SparkSession, store: Store) -> DataFrame:
-    return spark.read.schema(_STORED_POSITIONS).parquet(store.positions)
+    """The stored positions. The cell size goes along as metadata of ``cell_x``, where box queries find it."""
+    rows = spark.read.schema(_STORED_POSITIONS).parquet(store.positions)
+    cell_deg = stored_cell_size(spark, store)
+    if cell_deg is None:
+        return rows
+    return rows.withMetadata("cell_x", {CELL_SIZE: cell_deg})
+
+
+def stored_cell_size(spark: SparkSession, store: Store) -> float | None:
+    """The cell size a store was begun with; None for a store without layout table."""
+    row = spark.read.schema(_LAYOUT).parquet(store.layout).head() if table_exists(spark, store.layout) else None
+    return row.cell_deg if row else None
+
+
+def settled_cell_size(spark: SparkSession, store: Store, cell_deg: float | None) -> float:
+    """The cell size to write with: the store's own, or at the first write the given or default one, which is kept."""
+    kept = stored_cell_size(spark, store)
+    if kept is not None:
+        if cell_deg is not None and cell_deg != kept:
+            raise ValueError(f"the store has cells of {kept} degrees, not {cell_deg}")
+        return kept
+    if cell_deg is None and table_exists(spark, store.positions):
+        raise ValueError("the store has positions but no layout table: pass the cell size they were written with")
+    chosen = CELL_DEG if cell_deg is None else float(cell_deg)
+    spark.range(1).select(F.lit(chosen).alias("cell_deg")).write.mode("overwrite").parquet(store.layout)
+    return chosen
 
 
 def read_vessels(spark: SparkSession, store: Store) -> DataFrame:
@@ -106,10 +136,37 @@ def _write(df: DataFrame, path: str, partitions: list[str], sort: list[str], mod
     return seen.get["rows"]
 
 
-def write_positions(positions: DataFrame, store: Store, cell_deg: float = CELL_DEG, mode: str = "overwrite") -> int:
-    """``overwrite`` replaces every (date, cell) partition the rows fall into; others stay."""
-    rows = with_position_keys(positions.select(*S.POSITION_COLS).withColumn("ts", to_millis(F.col("ts"))), cell_deg)
-    return _write(rows, store.positions, POSITION_PARTITIONS, ["mmsi", "ts"], mode)
+def _storable(positions: DataFrame, store: Store, cell_deg: float | None) -> DataFrame:
+    size = settled_cell_size(positions.sparkSession, store, cell_deg)
+    return with_position_keys(positions.select(*S.POSITION_COLS).withColumn("ts", to_millis(F.col("ts"))), size)
+
+
+def write_positions(
+    positions: DataFrame, store: Store, cell_deg: float | None = None, mode: str = "overwrite"
+) -> int:
+    """``overwrite`` replaces every (date, cell) partition the rows fall into; others stay.
+
+    The cell size is settled by the first write; a later one may leave it out or repeat it.
+    """
+    return _write(_storable(positions, store, cell_deg), store.positions, POSITION_PARTITIONS, ["mmsi", "ts"], mode)
+
+
+def add_positions(positions: DataFrame, store: Store, cell_deg: float | None = None) -> DataFrame:
+    """Append the positions whose vessel and second the store does not hold yet; returns those rows.
+
+    ``positions`` holds one row per vessel and second. A stored row came first, wherever it lies, so the seconds are
+    looked up in all cells of the dates that occur. Run again after a failure, it adds what is missing.
+    """
+    spark = positions.sparkSession
+    rows = stage(_storable(positions, store, cell_deg), "arrived")
+    second = epoch_second(F.col("ts")).alias("_second")
+    if table_exists(spark, store.positions):
+        dates = [r.date for r in rows.select("date").distinct().collect()]  # as many as days, not rows
+        there = read_positions(spark, store).filter(F.col("date").isin(dates)).select("mmsi", second)
+        fresh = rows.withColumn("_second", second).join(there, ["mmsi", "_second"], "left_anti").drop("_second")
+        rows = stage(fresh, "fresh")
+    _write(rows, store.positions, POSITION_PARTITIONS, ["mmsi", "ts"], "append")
+    return rows
 
 
 def write_tracks(tracks: DataFrame, store: Store, mode: str = "overwrite") -> int:
@@ -119,6 +176,26 @@ def write_tracks(tracks: DataFrame, store: Store, mode: str = "overwrite") -> in
     return _write(rows, store.tracks, ["date"], ["mmsi", "start_time"], mode)
 
 
+def replace_tracks(tracks: DataFrame, vessels: DataFrame, store: Store) -> None:
+    """Let ``tracks`` stand for all tracks of ``vessels`` (column mmsi); those of other vessels stay."""
+    spark = tracks.sparkSession
+    tracks = stage(tracks, "tracks")
+    if not table_exists(spark, store.tracks):
+        write_tracks(tracks, store)
+        return
+    months = tracks.select(month_key(F.col("start_time")).alias("date"))
+    stored = read_tracks(spark, store)
+    old = stored.join(vessels, "mmsi", "left_semi").select("date")
+    touched = sorted(r.date for r in months.union(old).distinct().collect())  # as many as months
+    others = stored.filter(F.col("date").isin(touched)).join(vessels, "mmsi", "left_anti").select(*S.TRACK_COLS)
+    rows = stage(others.unionByName(tracks.select(*S.TRACK_COLS)), "months")
+    left = {r.date for r in rows.select(month_key(F.col("start_time")).alias("date")).distinct().collect()}
+    write_tracks(rows, store)
+    for month in (m for m in touched if m not in left):
+        # All tracks of the month now start in another one: replace its folder by an empty table.
+        rows.limit(0).select(*S.TRACK_COLS).write.mode("overwrite").parquet(f"{store.tracks}/date={month}")
+
+
 def write_vessels(vessels: DataFrame, store: Store, mode: str = "replace") -> int:
     """``replace`` writes the table anew; ``upsert`` keeps stored vessels and the latest record of each.
 
@@ -128,19 +205,22 @@ def write_vessels(vessels: DataFrame, store: Store, mode: str = "replace") -> in
     rows = stage(vessels.select(*S.VESSEL_COLS).withColumn("last_seen", to_millis(F.col("last_seen"))), "vessels")
     if rows.isEmpty():
         return 0
-    if mode == "upsert" and _exists(spark, store.vessels):
+    if mode == "upsert" and table_exists(spark, store.vessels):
         # The old table is an input, so the new one is finished elsewhere before it takes its place.
         rows = stage(upsert(read_vessels(spark, store), rows), "upserted")
     return _write(rows, store.vessels, [], ["mmsi"], "overwrite")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there; any other trouble with it is raised."""
     from pyspark.errors import AnalysisException
 
     try:
-        spark.read.schema(S.VESSELS).parquet(path)
-    except AnalysisException:
-        return False
+        spark.read.schema("_ string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
     return True
 
 
@@ -194,7 +274,7 @@ def read_wkb_tracks(spark: SparkSession, path: str) -> DataFrame:
 # --- maintenance ----------------------------------------------------------------------------------
 
 
-def backfill(spark: SparkSession, source: str, store: Store, cell_deg: float = CELL_DEG) -> int:
+def backfill(spark: SparkSession, source: str, store: Store, cell_deg: float | None = None) -> int:
     """Bring a position table of the older layout (WKB points below ``date=…/h3_r3=…``) into this one."""
     return write_positions(read_wkb_positions(spark, source), store, cell_deg)
 
