@@ -309,3 +309,34 @@ def test_many_headers_are_read_in_one_job(spark, tmp_path):
     spark.sparkContext.setJobGroup("rest", "rest")
     assert jobs <= 3
     assert rows.count() == 60
+
+
+def test_foreign_geometry(spark):
+    point = struct.pack("<BIdd", 1, 1, 10.5, 55.25)
+    with_srid = struct.pack("<BIIdd", 1, 1 | 0x20000000, 4326, 10.5, 55.25)
+    iso_z = struct.pack(">BIddd", 0, 1001, 10.5, 55.25, 3.0)
+    line_zm = struct.pack("<BIIdddddddd", 1, 2 | 0xC0000000, 2, 1.0, 2.0, 0.0, 0.0, 3.0, 4.0, 0.0, 0.0)
+    df = spark.createDataFrame([(bytearray(x),) for x in (point, with_srid, iso_z)] + [(None,)], "geometry binary")
+    assert [(r.lon, r.lat) for r in B.decode_points(df).collect()] == [(10.5, 55.25)] * 3 + [(None, None)]
+    line = B.decode_paths(spark.createDataFrame([(bytearray(line_zm),)], "geometry binary")).head().path
+    assert [(p.lon, p.lat) for p in line] == [(1.0, 2.0), (3.0, 4.0)]
+    with pytest.raises(Exception, match="neither a point nor a line"):
+        polygon = spark.createDataFrame([(bytearray(struct.pack("<BII", 1, 3, 0)),)], "geometry binary")
+        B.decode_points(polygon, strict=True).collect()
+    none = spark.createDataFrame([(None, 1.0)], "lon double, lat double").select(B.point_wkb(F.col("lon"), F.col("lat")).alias("g"))
+    assert none.head().g is None
+
+
+def test_point_text_keeps_all_digits(spark):
+    assert one(spark, G.point_wkt(F.lit(12.345678901234567), F.lit(-0.00001))) == "POINT (12.345678901234567 -0.00001)"
+
+
+def test_configure_keeps_what_the_session_sets(spark):
+    from wakeline.session import configure
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1m")
+    configure(spark)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.set(key, before)

@@ -109,8 +109,8 @@ def point_wkt(lon: Column, lat: Column) -> Column:
 
 
 def _number(value: Column) -> Column:
-    """A coordinate in plain decimal notation, at most ten decimals, without trailing zeros."""
-    fixed = value.cast("decimal(38,10)").cast("string")
+    """A coordinate in plain decimal notation with all its digits, without trailing zeros."""
+    fixed = value.cast("decimal(38,30)").cast("string")
     return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 

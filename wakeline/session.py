@@ -12,23 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 _local_fallback: str | None = None
 
 
+# Adaptive execution sizes the shuffles, splits skewed joins and picks broadcast joins from the sizes it has measured.
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Vessel tables of some million rows may be broadcast, but only when Spark knows them to be that small.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # Folding sequences costs far more per byte than reading, so even small partitions deserve a task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options every job here relies on.
 
-    All times are UTC. Adaptive execution sizes the shuffles, splits skewed joins and picks broadcast
-    joins from the sizes it has measured. The values are defaults: a larger
-    ``spark.sql.shuffle.partitions`` given to the session is left alone.
+    All times are UTC, whatever the session says. The rest are defaults: what the session already sets stays.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # Vessel tables of some million rows may be broadcast, but only when Spark knows them to be that small.
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
-    # Folding sequences costs far more per byte than reading, so even small partitions deserve a task.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
-    spark.conf.set("spark.sql.parquet.filterPushdown", "true")
-    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    given = spark.conf.getAll
+    for key, value in DEFAULTS.items():
+        if key not in given:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -51,7 +58,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, grouped by application so that it can be expired."""
-    return os.path.join(shared_folder(spark), spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(shared_folder(spark), spark.conf.get("spark.app.id"), f"{label}-{uuid.uuid4().hex}")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -128,12 +128,10 @@ def archive_lines(spark: SparkSession, paths: str | list[str], fmt: str) -> Data
     endings = CSV_ENDINGS if fmt == "csv" else SENTENCE_ENDINGS
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield from _entry_batches(path.as_py(), content.as_py(), endings)
+        for path, archive in _opened(batches):
+            yield from _entry_batches(path, archive, endings)
 
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    lines = raw.mapInArrow(unpack, LINES).repartition("file", "block")
+    lines = _archives(spark, paths).mapInArrow(unpack, LINES).repartition("file", "block")
     return stage(lines, "unpacked").select(
         "value", F.struct("file", "block", F.col("line_no").alias("row")).alias("seq")
     )
@@ -145,20 +143,50 @@ def _choose_entry(archive: zipfile.ZipFile, endings: tuple[str, ...]) -> zipfile
     return next(iter(fitting or entries), None)
 
 
-def _entry_batches(path: str, content: bytes, endings: tuple[str, ...], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        entry = _choose_entry(archive, endings)
-        if entry is None:
-            raise ValueError(f"no usable entry in archive {path}")
-        with archive.open(entry) as raw:
-            text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
-            first, values = 0, []
-            for line in text:
-                values.append(line.rstrip("\n"))
-                if len(values) == rows:
-                    yield _line_batch(path, first, values)
-                    first, values = first + rows, []
-            yield _line_batch(path, first, values)
+def _archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Archives as (path, content). Where tasks can open the files themselves, content is null and nothing is loaded."""
+    from pyarrow import fs
+
+    files = list_files(spark, paths)
+    try:
+        for path in files:
+            fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, ImportError):  # a store that only Spark's readers know; its archives are loaded whole
+        return spark.read.format("binaryFile").load(paths).select("path", "content")
+    rows = spark.createDataFrame([(f, None) for f in files], "path string, content binary")
+    return rows.repartition(max(1, min(len(files), 1024)), "path")
+
+
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, zipfile.ZipFile]]:
+    """The archives of (path, content) rows. A file is read where the archive's directory points, not as a whole."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, content in zip(batch["path"].to_pylist(), batch["content"]):
+            if content.is_valid:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    yield path, archive
+            else:
+                system, place = fs.FileSystem.from_uri(path)
+                with system.open_input_file(place) as raw, zipfile.ZipFile(raw) as archive:
+                    yield path, archive
+
+
+def _entry_batches(
+    path: str, archive: zipfile.ZipFile, endings: tuple[str, ...], rows: int = 10_000
+) -> Iterator[pa.RecordBatch]:
+    entry = _choose_entry(archive, endings)
+    if entry is None:
+        raise ValueError(f"no usable entry in archive {path}")
+    with archive.open(entry) as raw:
+        text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
+        first, values = 0, []
+        for line in text:
+            values.append(line.rstrip("\n"))
+            if len(values) == rows:
+                yield _line_batch(path, first, values)
+                first, values = first + rows, []
+        yield _line_batch(path, first, values)
 
 
 def _line_batch(path: str, first: int, values: list[str]) -> pa.RecordBatch:
@@ -176,11 +204,8 @@ def _line_batch(path: str, first: int, values: list[str]) -> pa.RecordBatch:
 
 def _first_entry_names(spark: SparkSession, paths: list[str]) -> DataFrame:
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    entry = _choose_entry(archive, ("",))
-                yield pa.RecordBatch.from_pydict({"file": [path.as_py()], "entry": [entry.filename if entry else ""]})
+        for path, archive in _opened(batches):
+            entry = _choose_entry(archive, ("",))
+            yield pa.RecordBatch.from_pydict({"file": [path], "entry": [entry.filename if entry else ""]})
 
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return raw.mapInArrow(names, "file string, entry string")
+    return _archives(spark, paths).mapInArrow(names, "file string, entry string")

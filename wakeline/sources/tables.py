@@ -239,7 +239,7 @@ def partition_boxes(positions: DataFrame) -> DataFrame:
 
 
 def write_catalog(spark: SparkSession, store: Store) -> int:
-    """Keep the partition boxes beside the table, so that a box query can start from them."""
+    """Keep the partition boxes beside the table, for readers that choose partitions by their true extent."""
     return _write(partition_boxes(read_positions(spark, store)), store.catalog, [], POSITION_PARTITIONS, "overwrite")
 
 
@@ -256,13 +256,13 @@ def tracks_with_wkb(tracks: DataFrame) -> DataFrame:
 
 def read_wkb_positions(spark: SparkSession, path: str) -> DataFrame:
     """A position table of another tool: WKB points, time column ``timestamp_us``."""
-    rows = decode_points(spark.read.parquet(path)).withColumnRenamed("timestamp_us", "ts")
+    rows = decode_points(spark.read.parquet(path), strict=True).withColumnRenamed("timestamp_us", "ts")
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in S.POSITIONS])
 
 
 def read_wkb_tracks(spark: SparkSession, path: str) -> DataFrame:
     """A track table of another tool: WKB lines. Box columns are computed from the path."""
-    rows = decode_paths(spark.read.parquet(path))
+    rows = decode_paths(spark.read.parquet(path), strict=True)
     for axis in ("lon", "lat"):
         along = F.transform("path", lambda p: p[axis])
         rows = rows.withColumn(f"min_{axis}", F.array_min(along)).withColumn(f"max_{axis}", F.array_max(along))
