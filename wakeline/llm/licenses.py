@@ -103,7 +103,9 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
         F.transform("lines", lambda line: F.struct(F.lit(0).alias("whole"), F.md5(line).alias("digest"))),
         F.array(F.struct(F.lit(1).alias("whole"), F.md5(F.array_join("lines", " ")).alias("digest"))),
     )
-    found = lined.where("size(lines) > 0").select("id", "th", F.posexplode(units).alias("place", "u"))
+    # The outer form keeps the optimizer from making the units a second time to test for empty arrays. A text without
+    # lines has the digest of the empty text, which no known text has.
+    found = lined.select("id", "th", F.posexplode_outer(units).alias("place", "u"))
     found = found.select("id", "th", "place", "u.whole", "u.digest").join(known, "digest")
     # The place tells lines of a document apart, and makes exact repeats of a row count once.
     per_text = (
