@@ -261,6 +261,28 @@ def tracks_on_the_fly(spark, sf):
     return _track_columns(Q.tracks_on_the_fly(D.raw_positions(spark, sf), **RANGE))
 
 
+# Vessels that a user picks on the map.
+CHOSEN = [219000003, 219000005, 219000011]
+
+
+def vessel_positions(spark, sf):
+    """All positions of one chosen vessel."""
+    return Q.positions_range(_clean(spark, sf), D.named_vessels(spark, sf), limit=None, mmsi=CHOSEN[1])
+
+
+def vessel_tracks(spark, sf):
+    """The tracks of one chosen vessel."""
+    return _track_columns(Q.filter_tracks(_tracks(spark, sf), mmsi=CHOSEN[1], start="2024-01-01"))
+
+
+def chosen_tracks_on_the_fly(spark, sf):
+    return _track_columns(Q.tracks_on_the_fly(D.raw_positions(spark, sf), mmsis=CHOSEN, **RANGE))
+
+
+def vessel_record(spark, sf):
+    return Q.find_vessels(D.named_vessels(spark, sf), mmsi=CHOSEN[1])
+
+
 # --- tables ---------------------------------------------------------------------------------------
 
 
@@ -430,7 +452,7 @@ QUERIES: dict[str, Query] = {
         vessel_upsert, enrich_positions, vessel_details, positions_range, positions_first_1000, positions_at,
         positions_at_box, positions_series, vessel_search, vessel_suggest, downsample_10s, pre_downsample_60s,
         segment_flags, track_build, track_build_pre60, track_summary, tracks_bbox, tracks_geojson,
-        tracks_on_the_fly, partition_bbox, cell_prune, stored_positions, stored_tracks, stored_vessels, sql_views,
+        tracks_on_the_fly, vessel_positions, vessel_tracks, chosen_tracks_on_the_fly, vessel_record, partition_bbox, cell_prune, stored_positions, stored_tracks, stored_vessels, sql_views,
         wkb_round_trip, compacted_positions, backfilled_positions, import_summary, accumulated_positions,
         accumulated_vessels, accumulated_tracks, streamed_positions, streamed_positions_batched, streamed_vessels,
         streamed_vessels_batched, ship_class,

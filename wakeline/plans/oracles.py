@@ -124,7 +124,8 @@ POSITION_VALUES = f"""mmsi, ts, lat, lon, {_f('sog')} AS sog, {_f('cog')} AS cog
 
 
 def _plain_number(c: str) -> str:
-    return f"regexp_replace(regexp_replace(printf('%.10f', {c}), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+    """All digits of a double, a whole number without its fraction."""
+    return f"regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')"
 
 
 # What the daily files carry of a position, as it is stored.
@@ -441,6 +442,13 @@ def oracle_sql() -> dict[str, str]:
             FROM tracks WHERE strftime(start_time, '%Y-%m') = '2024-01'""",
         "tracks_on_the_fly": f"""WITH RECURSIVE {CLEAN}, chosen AS (SELECT * FROM clean WHERE {_IN_RANGE}),
             {_thinned('chosen')}, {SEGMENTED}, {TRACKS} SELECT {_TRACK_COLS} FROM tracks""",
+        "vessel_positions": f"""WITH {CLEAN}, {NAMED}, p AS (SELECT * FROM clean WHERE mmsi = 219000005)
+            SELECT {RESULT} FROM p LEFT JOIN named v ON p.mmsi = v.mmsi""",
+        "vessel_tracks": f"{ALL_TRACKS} SELECT {_TRACK_COLS} FROM tracks WHERE mmsi = 219000005",
+        "chosen_tracks_on_the_fly": f"""WITH RECURSIVE {CLEAN},
+            chosen AS (SELECT * FROM clean WHERE {_IN_RANGE} AND mmsi IN (219000003, 219000005, 219000011)),
+            {_thinned('chosen')}, {SEGMENTED}, {TRACKS} SELECT {_TRACK_COLS} FROM tracks""",
+        "vessel_record": f"WITH {NAMED} SELECT {VESSEL_COLS} FROM named WHERE mmsi = 219000005",
         "partition_bbox": f"""WITH {CLEAN}
             SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(floor(lon + 180) AS INTEGER) AS cell_x,
                    CAST(floor(lat + 90) AS INTEGER) AS cell_y, count(*) AS rows, min(lon) AS min_lon,
