@@ -62,7 +62,9 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
         F.col(text_col).alias("text"),
     )
     named = source.select("_id", "_th", "text")
-    parts = with_chunks(named).select("_id", "_th", "lines", F.explode("chunks").alias("c")).where(F.col("c.size") >= LEAST_LINES)
+    # The outer form keeps the optimizer from working the chunks out a second time to test for empty arrays.
+    parts = with_chunks(named).select("_id", "_th", "lines", F.explode_outer("chunks").alias("c"))
+    parts = parts.where(F.col("c.size") >= LEAST_LINES)
     parts = parts.select("_id", "_th", "c.first", "c.size", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.size")), "\n").alias("chunk"))
     parts = parts.withColumn("key", F.xxhash64("chunk"))
 
