@@ -340,3 +340,20 @@ def test_configure_keeps_what_the_session_sets(spark):
     configure(spark)
     assert spark.conf.get(key) == "1m"
     spark.conf.set(key, before)
+
+
+def test_compaction_leaves_one_file_in_a_partition(spark, tmp_path):
+    store = TB.Store(str(tmp_path / "out"))
+    for mmsi in (219000001, 219000002, 219000003):
+        TB.write_positions(positions(spark, [(10.5, 55.5), (10.6, 55.5)], mmsi=mmsi), store, mode="append")
+    files = lambda: [p for p in (tmp_path / "out" / "positions").rglob("*.parquet")]
+    assert len(files()) == 3
+    assert TB.compact_positions(spark, store, "2024-01-15") == 6
+    assert len(files()) == 1 and TB.read_positions(spark, store).count() == 6
+
+
+def test_stored_tracks_keep_path_and_measures(spark, tmp_path):
+    store = TB.Store(str(tmp_path / "out"))
+    tracks = build_tracks(positions(spark, [(10, 55), (10.5, 55), (11, 55.25)]))
+    TB.write_tracks(tracks, store)
+    assert [r.asDict(True) for r in TB.read_tracks(spark, store).select(*S.TRACK_COLS).collect()] == [r.asDict(True) for r in tracks.collect()]

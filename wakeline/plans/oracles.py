@@ -150,9 +150,9 @@ FROM told GROUP BY mmsi"""
 _ACCUMULATED_VESSELS = f"""WITH {RAW}, {NAMED},
 part AS (
   SELECT *, 1 AS delivery FROM raw WHERE seq // 10000000 <= 5 UNION ALL SELECT *, 2 FROM raw WHERE seq // 10000000 >= 4),
-seen AS (SELECT mmsi, delivery, max_by(ts, seq) AS at FROM part GROUP BY mmsi, delivery)
+seen AS (SELECT mmsi, delivery, max_by(ts, seq) AS seen_at FROM part GROUP BY mmsi, delivery)
 SELECT v.mmsi, imo, vessel_name, callsign, CAST(NULL AS INTEGER) AS ship_type, CAST(NULL AS VARCHAR) AS ship_type_desc,
-       length_m, beam_m, draught_m, destination, date_trunc('millisecond', max(at)) AS last_seen
+       length_m, beam_m, draught_m, destination, date_trunc('millisecond', max(seen_at)) AS last_seen
 FROM seen JOIN named v ON seen.mmsi = v.mmsi GROUP BY ALL"""
 
 
