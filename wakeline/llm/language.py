@@ -36,7 +36,7 @@ EPOCHS = 8
 BATCHES = 4
 STRETCH = 12  # mean words of a stretch in training chains
 LEXICON_COUNT = 3
-SLICE = 1_500_000  # characters scored together
+SLICE = 300_000  # characters scored together
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
