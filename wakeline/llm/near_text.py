@@ -38,7 +38,7 @@ FIRST_BANDS = 3
 BLOCK = 1024
 PER_WALK = 200_000  # elements whose walks run together
 WORD_CACHE = 400_000
-COLUMNS = 4096  # shingles per slice of the comparison
+COLUMNS = 1024  # shingles per slice of the comparison
 
 _MULTIPLIERS = odd_constants(SHINGLE + 1, 1)
 _BAND = odd_constants(ROWS + 1, 2)
