@@ -103,42 +103,46 @@ def signatures(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray
     return result
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One bucket key per band of each signature."""
-    parts = signature.reshape(len(signature), BANDS, ROWS)
-    return mix64((parts * _BAND[:ROWS]).sum(axis=2, dtype=np.uint64)).view(np.int64)
+    parts = signature.reshape(len(signature), bands, rows)
+    return mix64((parts * _BAND[:rows]).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
 def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(bands: int, rows: int):
     """(id, text, text hash) to (id, text_hash, n_shingles, fp, bands); fp and bands are null for empty sets."""
-    hashes = _WordHashes()
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        lo = 0
-        while lo < len(texts):
-            sets: list[np.ndarray] = []
-            held, hi = 0, lo
-            while hi < len(texts) and held < PER_WALK:
-                sets.append(shingle_set(texts[hi], hashes))
-                held += len(sets[-1])
-                hi += 1
-            full = [s for s in sets if len(s)]
-            keys = iter(band_keys(signatures(full)).tolist() if full else ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(lo, hi - lo),
-                    batch.column(2).slice(lo, hi - lo),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ],
-                ["id", "text_hash", "n_shingles", "fp", "bands"],
-            )
-            lo = hi
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            lo = 0
+            while lo < len(texts):
+                sets: list[np.ndarray] = []
+                held, hi = 0, lo
+                while hi < len(texts) and held < PER_WALK:
+                    sets.append(shingle_set(texts[hi], hashes))
+                    held += len(sets[-1])
+                    hi += 1
+                full = [s for s in sets if len(s)]
+                keys = iter(band_keys(signatures(full, bands * rows), bands, rows).tolist() if full else ())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        batch.column(2).slice(lo, hi - lo),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    ],
+                    ["id", "text_hash", "n_shingles", "fp", "bands"],
+                )
+                lo = hi
+
+    return run
 
 
 def _full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,15 +232,22 @@ def _shared(buckets: DataFrame, least: int = 2) -> DataFrame:
     return buckets.join(sizes, ["band", "key"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    percent: int = 85,
+    banding: tuple[int, int] = (BANDS, ROWS),
+) -> DataFrame:
     """One row per document: id, text_hash (xxhash64), n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A and B| >= ``percent`` * |A or B| over their full shingle sets;
-    ``component_id`` is the smallest id that links lead to, and the document with that id is kept.
+    ``component_id`` is the smallest id that links lead to, and the document with that id is kept. ``banding`` is the
+    number of bands and of registers in each; a lower ``percent`` needs more bands or shorter ones.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
-    signed = stage(hashed.mapInArrow(_sign, "id long, text_hash long, n_shingles long, fp binary, bands array<long>"), "signatures")
+    signed = stage(hashed.mapInArrow(_sign(*banding), "id long, text_hash long, n_shingles long, fp binary, bands array<long>"), "signatures")
     named = signed.where("n_shingles > 0 AND id IS NOT NULL")
     classes = stage(named.groupBy("fp").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("rep", "fp", F.posexplode("bands").alias("band", "key"))
