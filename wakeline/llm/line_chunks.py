@@ -9,6 +9,11 @@ Chunks of two or more lines are counted by a 64-bit hash; those with a hash that
 grouping on the text itself, with counts and first places combined before the shuffle. Of equal chunks the first, by
 document id and then place, stays. Only chunks that may repeat are shuffled with their text.
 
+``remove_repeated_runs`` leaves boundaries aside: every two neighbouring lines are a pair, and the lines of each pair that
+an earlier place holds go. A run of two or more lines is repeated when all its pairs are, so any such run is found whole,
+whatever stands around it. A line that goes equals one at an earlier place, so the first of equal lines always stays.
+Pairs of blank lines are left alone. Pairs are counted and compared as chunks are.
+
 Defined results: a null text has no lines and stays null; an empty text is one empty line; rows with null id come
 first in the order; rows that share an id are documents of their own, but exact repeats of a row share one verdict.
 Only the named columns are read.
@@ -49,18 +54,31 @@ def with_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return ended.withColumn("chunks", chunks).drop("_hash", "_roll", "_around", "_ends")
 
 
-def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its columns, n_lines, n_removed (lines), n_chunks_removed, kept (the text that is left).
-
-    Columns of ``docs`` that bear one of these four names give way.
-    """
+def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # The row itself travels as one column, so that its names meet none of those used here.
-    source = docs.select(
+    return docs.select(
         F.struct(*docs.columns).alias("_row"),
         F.col(id_col).alias("_id"),
         F.xxhash64(text_col).alias("_th"),
         F.col(text_col).alias("text"),
     )
+
+
+def _repeats(parts: DataFrame) -> DataFrame:
+    """The rows of ``parts`` (_id, _th, first, chunk, its hash as key) whose chunk has an earlier place."""
+    common = stage(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "chunk-keys")
+    alike = stage(parts.where(passes("key", *bit_table(common))).join(common, "key", "left_semi"), "chunks")
+    first = F.min(F.struct("_id", "first", "_th")).alias("keeper")
+    groups = alike.groupBy("key", "chunk").agg(F.count("*").alias("n"), first).where("n > 1").select("key", "chunk", "keeper")
+    return alike.join(groups, ["key", "chunk"]).where(~F.struct("_id", "first", "_th").eqNullSafe(F.col("keeper")))
+
+
+def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its columns, n_lines, n_removed (lines), n_chunks_removed, kept (the text that is left).
+
+    Columns of ``docs`` that bear one of these four names give way.
+    """
+    source = _sources(docs, id_col, text_col)
     named = source.select("_id", "_th", "text")
     # The outer form keeps the optimizer from working the chunks out a second time to test for empty arrays.
     parts = with_chunks(named).select("_id", "_th", "lines", F.explode_outer("chunks").alias("c"))
@@ -68,11 +86,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     parts = parts.select("_id", "_th", "c.first", "c.size", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.size")), "\n").alias("chunk"))
     parts = parts.withColumn("key", F.xxhash64("chunk"))
 
-    common = stage(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "chunk-keys")
-    alike = stage(parts.where(passes("key", *bit_table(common))).join(common, "key", "left_semi"), "chunks")
-    first = F.min(F.struct("_id", "first", "_th")).alias("keeper")
-    groups = alike.groupBy("key", "chunk").agg(F.count("*").alias("n"), first).where("n > 1").select("key", "chunk", "keeper")
-    extra = alike.join(groups, ["key", "chunk"]).where(~F.struct("_id", "first", "_th").eqNullSafe(F.col("keeper")))
+    extra = _repeats(parts)
     per_text = (
         extra.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "first", "size")
         .distinct()
@@ -95,3 +109,34 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     }
     own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in found]
     return counted.select(*own, *[c.alias(name) for name, c in found.items()])
+
+
+def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its columns, n_lines, n_removed (lines), kept (the text that is left).
+
+    Columns of ``docs`` that bear one of these three names give way.
+    """
+    source = _sources(docs, id_col, text_col)
+    lined = source.select("_id", "_th", F.split("text", "\n", -1).alias("lines"))
+    some = F.greatest(F.size("lines") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("lines", 1, some), F.slice("lines", 2, some), lambda a, b: F.concat(a, F.lit("\n"), b))
+    parts = lined.select("_id", "_th", F.posexplode_outer(pairs).alias("first", "chunk"))
+    parts = parts.where(F.col("chunk").rlike(r"\S")).withColumn("key", F.xxhash64("chunk"))
+    per_text = (
+        _repeats(parts)
+        .select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.explode(F.array(F.col("first"), F.col("first") + 1)).alias("line"))
+        .groupBy("_i", "_t")
+        .agg(F.collect_set("line").alias("_gone"))
+    )
+    joined = source.join(per_text, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
+    counted = joined.withColumn("lines", F.split("text", "\n", -1))
+    # Used twice, so that the optimizer does not move the split into the step by line.
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("_gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    found = {
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long"),
+        "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
+        "kept": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept),
+    }
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in found]
+    return counted.select(*own, *[c.alias(name) for name, c in found.items()])
