@@ -1,9 +1,12 @@
 """What the pipeline's stages owe beyond the registered queries."""
 
+from collections import Counter
+
+import numpy as np
 import plain
 
 import corpus_pipeline
-from wakeline.llm import line_chunks
+from wakeline.llm import line_chunks, packing
 
 WORDS = [f"w{i}" for i in range(100)]
 DOCS = "doc_id long, text string"
@@ -48,3 +51,22 @@ def test_short_shared_runs_go_whole(spark, sf_dir):
     assert {r.doc_id: r.text for r in left.collect()} == {i: want[i][0] for i, _ in rows if i != 10}
     nulls = line_chunks.remove_repeated_runs(spark.createDataFrame([(None, "p\nq"), (1, "p\nq"), (2, None)], DOCS)).collect()
     assert {r.doc_id: (r.kept, r.n_lines) for r in nulls} == {None: ("p\nq", 2), 1: ("", 2), 2: (None, 0)}
+
+
+def test_last_group_of_a_partition_is_balanced(monkeypatch):
+    balanced, balance = [], packing.balance
+    monkeypatch.setattr(packing, "balance", lambda sizes, parts: balanced.append(sum(sizes)) or balance(sizes, parts))
+    for total in (0, 1, 1019, 1020, 1021, 10_500, 31_000):
+        balanced.clear()
+        packer = packing._Packer(0)
+        ids = np.arange(total, dtype="<u4").tobytes()
+        for at in range(0, total, 700):  # documents shorter than a window
+            packer.add(at, ids[4 * at : 4 * (at + 700)])
+        packer.finish()
+        assert total - (balanced[0] if balanced else 0) < packing.CAPACITY - packing.SLACK
+        got = b"".join(r[3] for r in sorted(packer.rows, key=lambda r: (r[0], r[1])))
+        assert got == ids and not packer.held and not packer.group
+        loads = Counter()
+        for r in packer.rows:
+            loads[r[5]] += r[2]
+        assert max(loads.values(), default=0) <= packing.CAPACITY and sorted(loads) == list(range(packer.used))

@@ -6,7 +6,8 @@ Each group is balanced by multiway differencing: every piece starts as a partial
 two partial partitions of largest imbalance are merged, the fullest part of one with the emptiest of the other, until
 one is left. Its parts are near-equal windows. A group is closed a little (``SLACK`` tokens a window) below its
 capacity, and when a part still exceeds the capacity, the number of windows rises by one and the group is balanced
-again. The last group of a partition is cut along the powers of two of its size, whose windows need no padding.
+again. The last group of a partition is balanced in as many windows as it fills; the remainder, less than one window, is
+cut along the powers of two of its size, whose windows need no padding.
 
 Everything happens inside a partition, as its rows stream by: no shuffle, and memory for one group and one Arrow
 batch of texts. Window ids are the partition's number and a counter, the same whenever the partition is read again.
@@ -171,7 +172,19 @@ class _Packer:
         self.group, self.held = [], 0
 
     def finish(self) -> None:
-        """Windows along the powers of two of what is left."""
+        """Balanced windows of what is left; the remainder of less than a window along the powers of two of its size."""
+        full = self.held // (CAPACITY - SLACK) * (CAPACITY - SLACK)
+        if full:
+            rest, room, self.group = self.group, full, []
+            while room:
+                doc, start, ids, total = rest[0]
+                take = min(room, len(ids) // 4)
+                self.group.append((doc, start, ids[: 4 * take], total))
+                rest[:1] = [(doc, start + take, ids[4 * take :], total)] if 4 * take < len(ids) else []
+                room -= take
+            held = self.held - full
+            self.close()
+            self.group, self.held = rest, held
         left = self.group[::-1]
         while self.held:
             size = min(1 << (self.held.bit_length() - 1), CAPACITY)
