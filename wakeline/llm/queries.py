@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from wakeline.llm import (
     chat,
     decontaminate,
+    hard_negatives,
     language,
     licenses,
     line_chunks,
+    mixing,
     near_text,
     near_vectors,
     packing,
     passages,
+    periodic_runs,
     urls,
 )
 from wakeline.llm.common import table
@@ -94,8 +97,49 @@ def op10_suffix_array_dedup(spark, sf):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def with_repetition(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text by hash repeats a stretch of its words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.expr("crc32(cast(cast(doc_id AS string) AS binary)) div 10")).alias("g"))
+    words = F.when(F.col("g").isNotNull(), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    rows = rows.withColumn("w", words).withColumn("n", F.size("w"))
+    begin = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    rows = rows.withColumn("a", begin).withColumn("p", 1 + F.expr("(n - a) div (3 + g % 8)"))
+    at = F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)
+    place = F.transform(at, lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    repeated = F.transform(place, lambda i: F.get("w", i.cast("int")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf):
+    found = periodic_runs.detect(with_repetition(table(spark, sf, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.p")).alias("period"),
+        F.expr("(1000 * longest.length) div -longest.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_mixing(spark, sf):
+    found = mixing.mix(table(spark, sf, "documents")).taken()
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def registered() -> dict[str, Query]:
-    found = [op1_line_dedup, op2_language_id, op3_embedding_near_dedup, op4_license_scan, op5_url_filter, op6_minhash_near_dedup, op7_chat_formatting, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup]
+    found = [op1_line_dedup, op2_language_id, op3_embedding_near_dedup, op4_license_scan, op5_url_filter, op6_minhash_near_dedup, op7_chat_formatting, op8_benchmark_decontamination, op9_packing, op10_suffix_array_dedup, op11_hard_negatives, op12_periodic_runs, op13_source_mixing]
     return {f.__name__: f for f in found}
 
 
@@ -272,6 +316,29 @@ FROM documents LEFT JOIN per_doc ON id = doc_id
 """
 
 
+OP11 = """
+WITH vec AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+score AS (
+    SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM vec a JOIN vec b ON a.id <> b.id WHERE a.id % 100 = 0
+),
+positive AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM score WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER best AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positive p JOIN score s ON p.anchor_id = s.anchor_id AND NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1,
@@ -280,4 +347,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_near_dedup": OP6,
         "op7_chat_formatting": OP7,
         "op8_benchmark_decontamination": OP8,
+        "op11_hard_negatives": OP11,
     }
