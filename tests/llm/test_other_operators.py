@@ -66,6 +66,8 @@ def test_language_edge_cases(spark, monkeypatch):
     assert got[0].score == 0 and got[5].score == got[6].score and got[7].n_words == 3001 and got[3].more == 1
     monkeypatch.setattr(language, "SLICE", 50)  # a text read in slices
     assert np.allclose(language.judge(model, [texts[7]])[0].argmax(), 0)
+    numbers = spark.createDataFrame([("\u00bd \u00b2",), ("\u2460 12",)], "text string")  # no letters
+    assert {r.lang_pred for r in language.identify(numbers, model).collect()} == {"und"}
     assert language.train([]) is None
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).collect() == []
@@ -209,13 +211,33 @@ def test_formatted_turns_read_back(spark):
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-TOKENS = packing.WordTokens(VOCABULARY)
+TOKENS = packing.Tokens(VOCABULARY)
+TOKENIZER = Tokenizer.from_file(VOCABULARY)
+
+
+def plain_ids(text):
+    return np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from([*"ab.,'s12é中 \n\t\r", "  ", "\n\n", " a", "'ll ", "<|endoftext|>", "\x1c", "\u2009"]), max_size=25).map("".join))
-def test_word_tokens_equal_whole_texts(text):
-    assert TOKENS.text(text) == TOKENS.whole(text)
+def test_tokens_by_rank_equal_the_tokenizer(text):
+    assert TOKENS.text(text) == plain_ids(text)
+
+
+def test_tokens_of_every_code_point():
+    assert TOKENS._ranks is not None
+    for first in range(1, 0x30000, 0x800):
+        points = [chr(c) for c in range(first, first + 0x800) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}b {c} {c}1{c}{c}!{c}\n" for c in points)
+        assert TOKENS.text(text) == plain_ids(text)
+
+
+def test_other_vocabularies_take_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens, tokenizer = packing.Tokens(path), Tokenizer.from_file(path)
+    assert tokens._ranks is None
+    assert tokens.text("Some words, \n here") == np.array(tokenizer.encode("Some words, \n here", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_differencing_balances():

@@ -7,6 +7,7 @@ import oracle_check
 import plain
 import pytest
 from pyspark.sql import functions as F
+from test_whole_jobs import without_repeated_runs
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -29,12 +30,13 @@ def test_every_operator_has_a_query():
 def test_pipeline_equals_plain_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.train(language.training_sample(docs, "doc_id", "text", "lang"))
-    accepted = language.identify(docs, model).where(f"lang_pred <> 'und' AND score >= {corpus_pipeline.LEAST_SCORE}")
+    accepted = language.identify(docs, model).where(f"lang_pred <> 'und' AND certainty >= {corpus_pipeline.LEAST_CERTAINTY}")
     rows = [(r.doc_id, r.text) for r in accepted.select("doc_id", "text").collect()]
     assert len(rows) > 0.97 * docs.count()
-    left = plain.without_repeated_chunks(rows)
+    assert all(t is not None for _, t in rows)
+    left = without_repeated_runs(rows)
     rows = [(i, left[i][0]) for i, _ in rows if not (left[i][1] and left[i][0] == "")]
-    groups = plain.near_groups(rows)
+    groups = plain.near_groups(rows, corpus_pipeline.NEAR_PERCENT)
     rows = [(i, t) for i, t in rows if groups[i] == i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     hit = plain.contamination(rows, items)
@@ -47,6 +49,16 @@ def test_pipeline_equals_plain_stages(spark, sf_dir):
     assert got == want
 
 
+def test_code_switched_texts_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = docs.where("lang IS NOT NULL AND n_chars BETWEEN 300 AND 3000").groupBy("lang").agg(F.min_by("text", "doc_id").alias("t")).collect()
+    parts = [" ".join(r.t.split()[:40]) for r in sorted(known, key=lambda r: r.lang)]
+    mixed = [(10_000_000 + n, " ".join(parts[:n]), None, "s", 1) for n in range(2, len(parts) + 1)]
+    both = docs.unionByName(spark.createDataFrame(mixed, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.identified(spark, both, sf_dir).select("doc_id").collect()}
+    assert {m[0] for m in mixed} <= kept and len(mixed) > 2
+
+
 EDGES = [
     (None, "Was the only one of them", "en", "s", 1), (1, None, "en", "s", None), (2, "", None, None, 0), (3, "123 ...", "en", "s", 7),
     (4, "Was the only one of them and then some more of it", "en", None, 3), (4, "Was the only one of them and then some more of it", "en", None, 3),

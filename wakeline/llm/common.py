@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``TEXT_ROWS`` rows, as texts are long, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Texts of one byte per character take Spark's quick ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -111,7 +121,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[inner], nodes[roots[inner]]
 
 
-FOREST_LINKS = 500_000
+FOREST_LINKS = 100_000
 
 
 def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,16 +16,15 @@ learned; rows with null id are predicted too but not learned from; repeated rows
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import odd_constants
+from wakeline.llm.common import odd_constants, text_batches
 
 CHAIN = 64
 SAMPLE = 120
@@ -39,7 +38,6 @@ LEXICON_COUNT = 3
 SLICE = 300_000  # characters scored together
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[list(range(97, 123)) + list(range(128, 256))] = True
 _MIX = odd_constants(8, 5)
@@ -236,10 +234,13 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
     return model
 
 
-def judge(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean word probabilities by text and language, and words by text; texts longer than a slice are read in slices."""
+def judge(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean word probabilities by text and language, words by text, and the mean of each word's largest probability.
+
+    Texts longer than a slice are read in slices.
+    """
     k = len(model.languages) if model else 0
-    total, count = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
+    total, count, sure = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64), np.zeros(len(texts))
     parts: list[str] = []
     owners: list[int] = []
     size = 0
@@ -253,10 +254,11 @@ def judge(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.
         for c in range(k):
             total[:, c] += np.bincount(owner, weights=marginal[:, c], minlength=len(texts))
         count[:] += np.bincount(owner, minlength=len(texts))
+        sure[:] += np.bincount(owner, weights=marginal.max(axis=1), minlength=len(texts))
 
     if model:
         for i, text in enumerate(texts):
-            if text is None or not _LETTER.search(text):
+            if text is None or not any(map(str.isalpha, text)):
                 continue
             for at in range(0, len(text), SLICE):
                 parts.append(text[at : at + SLICE])
@@ -267,22 +269,21 @@ def judge(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.
                     parts, owners, size = [], [], 0
         if parts:
             add()
-    return total / np.maximum(count, 1)[:, None], count
+    return total / np.maximum(count, 1)[:, None], count, sure / np.maximum(count, 1)
 
 
-ANSWERS = {"lang_pred": "string", "score": "double", "n_words": "bigint"}
+ANSWERS = {"lang_pred": "string", "score": "double", "n_words": "bigint", "certainty": "double"}
 
 
-def _predict(model: Model | None, text_at: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            share, count = judge(model, batch.column(text_at).to_pylist())
+def _predict(model: Model | None):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            share, count, sure = judge(model, [None if t is None else str(t) for t in texts])
             known = count > 0
             best = share.argmax(axis=1) if share.shape[1] else np.zeros(len(count), int)
             lang = [model.languages[b] if w else UNKNOWN for b, w in zip(best, known)]
             score = np.where(known, np.minimum(share.max(axis=1, initial=0), 1.0), 0.0)
-            columns = [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(count)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *ANSWERS])
+            yield pd.DataFrame(dict(zip(ANSWERS, (lang, score, count, np.minimum(sure, 1.0)))))
 
     return run
 
@@ -305,7 +306,16 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (the mean probability of that language) and n_words; columns so named give way."""
-    rows = docs.drop(*[c for c in ANSWERS if c != text_col])
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{c} {k}" for c, k in ANSWERS.items())])
-    return rows.mapInArrow(_predict(model, rows.columns.index(text_col)), kinds)
+    """``docs`` with lang_pred, score (the mean probability of that language), n_words and certainty; columns so named give way.
+
+    ``certainty`` is the mean of each word's largest probability, whatever its language. Only the text goes to Python and
+    only the answers come back.
+    """
+    text_batches(docs.sparkSession)
+    own = [c for c in docs.columns if c == text_col or c not in ANSWERS]
+    kinds = ", ".join(f"{c} {k}" for c, k in ANSWERS.items())
+    # A plan may repeat a column's expression in filters, but not one that it takes to give different answers.
+    answer = F.pandas_udf(_predict(model), kinds).asNondeterministic()
+    inner = "_" + max(docs.columns, key=len)
+    answered = docs.select(*own, answer(F.col(text_col)).alias(inner))
+    return answered.select(*own, *[F.col(inner)[c].alias(c) for c in ANSWERS if c != text_col])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import mix64
+from wakeline.llm.common import mix64, text_batches
 from wakeline.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -44,23 +44,30 @@ SHARD = 1024  # slots of an output shard
 CHUNK = 20_000  # rows of a running total's inner step
 CELLS = 100_000  # of the drawing line, at most, besides one for each source
 SEED = 13
+TOGETHER = 1 << 20  # bytes of text looked at together
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:
-    """The number of runs without ASCII white space in each text."""
+    """The number of runs without ASCII white space in each text; a few texts are looked at together."""
     texts = texts.cast(pa.large_binary())
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-    bounds = bounds - bounds[0]
-    begins = ~_SPACE[data]
-    after = np.concatenate([[True], _SPACE[data[:-1]]]) if len(data) else np.empty(0, bool)
-    first = bounds[:-1][np.diff(bounds) > 0]
-    after[first] = True
-    total = np.concatenate([[0], np.cumsum(begins & after)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    counts = np.zeros(len(texts), np.int64)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + TOGETHER, "right")) - 1)
+        own = bounds[first : last + 1] - bounds[first]
+        space = _SPACE[data[bounds[first] : bounds[last]]]
+        begins = ~space
+        begins[1:] &= space[:-1]
+        starts = own[:-1][np.diff(own) > 0]
+        begins[starts] = ~space[starts]
+        counts[first:last] = np.diff(np.searchsorted(np.flatnonzero(begins), own))
+        first = last
+    return counts
 
 
 def _sized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +256,7 @@ def mix(
     shard: int = SHARD,
 ) -> Mix:
     """The mix of ``docs`` by source; see ``Mix``."""
+    text_batches(docs.sparkSession)
     given = docs.select(
         F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash")
     )

@@ -9,8 +9,8 @@ and a later step could only offer larger values, so the walk stops there. The ra
 correlated across registers, which gives the estimate a lower variance than independent hashes.
 
 Documents with equal sets are one class, represented by its smallest id. Classes that share a band meet in the
-band's bucket. A bucket is compared in blocks of at most ``BLOCK`` classes against each other, on full sets, inside
-the tasks; what leaves a task is a spanning forest of the links found, never the pairs. Three bands run first; the
+band's bucket. A bucket is compared in blocks of about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles against each other, on full
+sets, inside the tasks; what leaves a task is a spanning forest of the links found, never the pairs. Three bands run first; the
 remaining bands then compare only buckets that still hold more than one group.
 
 Defined results: null or empty text, or text without words, has an empty set, links with nothing and is kept; rows
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import bit_table, components, forest, key_groups, mix64, odd_constants, passes
+from wakeline.llm.common import bit_table, components, forest, key_groups, mix64, odd_constants, passes, text_batches
 from wakeline.session import stage
 
 SHINGLE = 5
@@ -36,8 +36,9 @@ BANDS, ROWS = 21, 6
 REGISTERS = BANDS * ROWS
 FIRST_BANDS = 3
 BLOCK = 1024
+BLOCK_SHINGLES = 300_000  # of 8 bytes
 PER_WALK = 200_000  # elements whose walks run together
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 COLUMNS = 1024  # shingles per slice of the comparison
 
 _MULTIPLIERS = odd_constants(SHINGLE + 1, 1)
@@ -119,13 +120,13 @@ def _sign(bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             lo = 0
             while lo < len(texts):
                 sets: list[np.ndarray] = []
                 held, hi = 0, lo
                 while hi < len(texts) and held < PER_WALK:
-                    sets.append(shingle_set(texts[hi], hashes))
+                    sets.append(shingle_set(texts[hi].as_py(), hashes))
                     held += len(sets[-1])
                     hi += 1
                 full = [s for s in sets if len(s)]
@@ -148,7 +149,7 @@ def _sign(bands: int, rows: int):
 def _full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for batch in batches:
-        sets = [shingle_set(t, hashes) for t in batch.column(1).to_pylist()]
+        sets = [shingle_set(t.as_py(), hashes) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -214,8 +215,8 @@ def _compare(percent: int):
 
 
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets. ``members``: band, key, rep, fp, n (the bucket's size)."""
-    blocks = F.ceil(F.col("n") / BLOCK)
+    """Links inside buckets. ``members``: band, key, rep, fp, n and total (the bucket's classes and their shingles)."""
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
     dealt = (
         members.withColumn("own", F.pmod(F.xxhash64("rep"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -228,8 +229,8 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _shared(buckets: DataFrame, least: int = 2) -> DataFrame:
     """Buckets with at least two classes, every member with the bucket's size."""
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return buckets.join(sizes, ["band", "key"])
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where(F.col("n") >= least)
+    return buckets.drop("size").join(sizes, ["band", "key"])
 
 
 def near_duplicates(
@@ -245,12 +246,13 @@ def near_duplicates(
     ``component_id`` is the smallest id that links lead to, and the document with that id is kept. ``banding`` is the
     number of bands and of registers in each; a lower ``percent`` needs more bands or shorter ones.
     """
+    text_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
     signed = stage(hashed.mapInArrow(_sign(*banding), "id long, text_hash long, n_shingles long, fp binary, bands array<long>"), "signatures")
     named = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = stage(named.groupBy("fp").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("rep", "fp", F.posexplode("bands").alias("band", "key"))
+    classes = stage(named.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
+    buckets = classes.select("rep", "fp", "size", F.posexplode("bands").alias("band", "key"))
     members = stage(_shared(buckets), "buckets")
 
     wanted = members.select("rep", "fp").distinct()

@@ -1,7 +1,7 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
-A document's tokens, closed by id 0, are cut into pieces of at most the window's capacity: whole windows first, the
-rest into pieces of at most ``PIECE`` tokens. The rests of a partition are dealt in groups of about ``WINDOWS`` windows.
+A document's tokens, closed by id 0, are cut into pieces: as large as a window while they last, then of at most ``PIECE``
+tokens. The pieces of a partition are dealt in groups of about ``WINDOWS`` windows.
 Each group is balanced by multiway differencing: every piece starts as a partial partition with one part filled; the
 two partial partitions of largest imbalance are merged, the fullest part of one with the emptiest of the other, until
 one is left. Its parts are near-equal windows. A group is closed a little (``SLACK`` tokens a window) below its
@@ -19,6 +19,7 @@ other; an empty table gives no window. Only the named columns are read.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 from collections.abc import Iterable, Iterator
 
@@ -28,71 +29,64 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.common import text_batches
+
 CAPACITY = 1024
-PIECE = 128
+PIECE = 64
 WINDOWS = 32
 SLACK = 4
 END = 0
-CACHED_WORDS = 1_000_000
 OUT_ROWS = 4000
+# How byte-level vocabularies part a text before merging (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class WordTokens(dict):
-    """Token ids of whole texts, the ids of recurring words being remembered.
-
-    The vocabulary's pre-tokeniser always parts a text before a single space and around a single line feed that
-    stand between other characters, and between letters and a closing comma or full stop. Where a text's white
-    space is of this kind only, it is cut there: keys are words, standing for the word after a space, or
-    words with their own leading line feed. Any other text is encoded as a whole.
+def _rank_encoding(vocabulary: str):
+    """The same vocabulary for the rank-driven encoder, or None if the file is no plain byte-level BPE in rank order."""
+    import tiktoken
+
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"add_prefix_space": False, "use_regex": True}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if before.get("type") != "ByteLevel" or any(before.get(k) != v for k, v in plain.items()) or spec.get("normalizer"):
+        return None
+    if model.get("type") != "BPE" or any(model.get(k) for k in odd):
+        return None
+    # Bytes that are printable stand for themselves, the others for code points from 256 on.
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    vocab = model["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if [vocab.get(m) for m in merged] != list(range(256, 256 + len(merged))) or len(vocab) != 256 + len(merged):
+        return None
+    ranks = {bytes(byte[c] for c in token): rank for token, rank in vocab.items()}
+    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
+class Tokens:
+    """Token ids of whole texts by a tokenizer file.
+
+    Merging by rank gives the same ids several times faster where the file's vocabulary allows it; texts that hold an
+    added token's string, and other kinds of vocabulary, go to the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._model = self._tokenizer.model
-        plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        # The printable stand-in of each byte that occurs in Latin text; the vocabulary is written in these.
-        stand_ins = {b: plain.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
-        for c in range(0x80, 0x250):
-            for byte, stand_in in zip(chr(c).encode(), plain.pre_tokenize_str(chr(c))[0][0]):
-                stand_ins[byte] = stand_in
-        self._stand_ins = stand_ins
-        self._marks = {c: self.whole(c) for c in ".,"}
-        self._line = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a letter run, with or without a space before it."""
-        written = word.encode().decode("latin-1").translate(self._stand_ins)
-        return np.array([t.id for t in self._model.tokenize(written)], dtype="<u4").tobytes()
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        lead, body = (self._line, key[1:]) if key[0] == "\n" else (b"", key)
-        tail = self._marks.get(body[-1:])
-        stem = body[:-1] if tail else body
-        if not stem.isalpha() or max(stem) >= "\u0250":
-            ids = self.whole(key if lead else " " + key)
-        elif lead:
-            ids = lead + self._word(stem) + (tail or b"")
-        else:
-            ids = self[stem] + tail if tail else self._word(" " + stem)
-        self[key] = ids
-        return ids
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._ranks = _rank_encoding(vocabulary)
 
     def text(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
-        if " ".join(text.split()) != text.replace("\n", " "):
-            return self.whole(text)
-        parts = text.replace("\n", " \n").split(" ")
-        return self.whole(parts.pop(0)) + b"".join(map(self.__getitem__, parts))
+        if self._ranks is None or any(a in text for a in self._added):
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._ranks.encode_ordinary(text), "<u4").tobytes()
 
 
 def balance(sizes: list[int], parts: int) -> list[list[int]]:
@@ -147,12 +141,9 @@ class _Packer:
     def add(self, doc, ids: bytes) -> None:
         total = len(ids) // 4
         at = 0
-        while total - at >= CAPACITY:
-            self.window([(doc, at, ids[4 * at : 4 * (at + CAPACITY)], total)])
-            at += CAPACITY
         room = WINDOWS * (CAPACITY - SLACK)
         while at < total:
-            size = min(PIECE, total - at, room - self.held)
+            size = min(CAPACITY if total - at >= CAPACITY else PIECE, total - at, room - self.held)
             self.group.append((doc, at, ids[4 * at : 4 * (at + size)], total))
             self.held += size
             at += size
@@ -208,7 +199,7 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-_tokens: dict[str, WordTokens] = {}  # one per worker, kept between its tasks
+_tokens: dict[str, Tokens] = {}  # one per worker, kept between its tasks
 
 
 def _pack(vocabulary: str):
@@ -216,7 +207,7 @@ def _pack(vocabulary: str):
         packer = _Packer(TaskContext.get().partitionId())
         end = np.array([END], "<u4").tobytes()
         if vocabulary not in _tokens:
-            _tokens[vocabulary] = WordTokens(vocabulary)
+            _tokens[vocabulary] = Tokens(vocabulary)
         tokens = _tokens[vocabulary]
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -236,5 +227,6 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     ``vocabulary`` is the path of a tokenizer file on every executor. Windows hold at most ``CAPACITY`` ids and are
     padded to it by the reader unless their length is a power of two.
     """
+    text_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return source.mapInArrow(_pack(vocabulary), SCHEMA)

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.common import text_batches
+
 LEAST = 6
 TIMES = 4
 TOGETHER = 200_000  # words handled together
@@ -337,6 +339,7 @@ def detect(docs: DataFrame, text_col: str = "text", least: int = LEAST, times: i
 
     ``collapsed`` is the text's words joined by one space, without those that a run holds after its first period.
     """
+    text_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in (text_col, "n_words", "runs", "collapsed")]
     # The text comes last and under a name that no other column has.
     text = "_" + max(docs.columns, key=len)
