@@ -15,19 +15,19 @@ from wakeline.llm import decontaminate, language, line_chunks, near_text, packin
 from wakeline.llm.common import table
 from wakeline.session import stage
 
-LEAST_SCORE = 0.4  # mean word probability of a document's language
+LEAST_CERTAINTY = 0.4  # mean of each word's largest probability, in whatever language
 NEAR_PERCENT = 80  # similarity of word shingles that links two documents
 NEAR_BANDING = (25, 5)  # misses a pair of exactly 0.8 with probability 5e-5; the operator's own 21 x 6 with 1.7e-3
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognisable language: those without letters or without a leading language go."""
+    """Documents in recognisable languages, one or several: those without letters or whose words are of no known language go."""
     model = language.train(language.training_sample(docs, "doc_id", "text", "lang"))
     found = language.identify(docs, model)
     if model is None:  # nothing to learn from, nothing to reject by
         return docs
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("certainty") >= LEAST_CERTAINTY)).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
