@@ -21,11 +21,13 @@ from wakeline.plans import ingest as I
 from wakeline.plans import queries as Q
 from wakeline.plans import rendering as R
 from wakeline.session import configure, scratch_path, stage
+from wakeline.sources import archive_source as A
 from wakeline.sources import csv as C
 from wakeline.sources import files as FI
 from wakeline.sources import sentences as N
 from wakeline.sources import tables as TB
 from wakeline.streaming import incremental as ST
+from wakeline.streaming import voyages as VO
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,6 +114,26 @@ def nmea_decode_positions(spark, sf):
     return N.decode_positions(messages).drop("seq")
 
 
+def archived_csv_positions(spark, sf):
+    """Daily archives read by the data source, a partition for each entry."""
+    rows = V.clean(C.positions_of(A.read_csv(spark, R.daily_archives(spark, sf))))
+    return rows.withColumn("ts", X.to_millis(F.col("ts"))).drop("seq")
+
+
+def archived_sentences(spark, sf):
+    lines = A.with_order(A.read_archives(spark, R.sentence_archives(spark, sf), "nmea"))
+    return N.decode_positions(N.assemble(N.sentence_fields(lines, FALLBACK))).drop("seq")
+
+
+def mixed_folder_positions(spark, sf):
+    """A folder of daily archives, routed by name and entry, imported into a store."""
+    store, folder = _store(spark), R.daily_archives(spark, sf)
+    names = [f"{folder}/{FI.DAILY_NAME.format(date=d)}" for d in ("2024-01-01", "2024-01-02")]
+    for path, files in ((folder, None), (None, names)):  # the daily drop again: nothing is added twice
+        I.import_files(spark, path or files, store, I.ImportOptions(position_mode="append", vessel_mode="upsert"))
+    return TB.read_positions(spark, store).select(*S.POSITION_COLS)
+
+
 def nmea_decode_static(spark, sf):
     messages = N.read_sentences(spark, R.static_sentences(spark, sf), FALLBACK)
     return N.decode_static(messages).drop("seq")
@@ -425,6 +447,25 @@ def streamed_vessels_batched(spark, sf):
     return TB.read_vessels(spark, _streamed(spark, sf, 100))
 
 
+def _streamed_tracks(spark, sf, files_per_batch: int) -> DataFrame:
+    state = scratch_path(spark, "voyages")
+    landing = R.landing_csv_files(spark, sf)
+    for _ in range(2):  # the second start finds nothing new, whatever the state says
+        parsed = ST.stream_csv(spark, landing, R.DAILY_HEADER, files_per_batch)
+        VO.import_voyages(parsed, TB.Store(f"{state}/store"), state).awaitTermination()
+    return _track_columns(VO.tracks(spark, state))
+
+
+def streamed_tracks(spark, sf):
+    """Tracks kept up to date by state per vessel, one file in a batch, with repeats of all days at the end."""
+    return _streamed_tracks(spark, sf, 1)
+
+
+def streamed_tracks_batched(spark, sf):
+    """The same in batches of up to 100 files."""
+    return _streamed_tracks(spark, sf, 100)
+
+
 # --- display values -------------------------------------------------------------------------------
 
 
@@ -448,6 +489,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         csv_positions, csv_vessels, csv_counts, nmea_tag_time, nmea_counts, nmea_assemble, nmea_decode_positions, nmea_decode_static,
+        archived_csv_positions, archived_sentences, mixed_folder_positions,
         first_lines, validate_reasons, validation_statistics, dedup_keep_first, vessel_merge, vessel_latest,
         vessel_upsert, enrich_positions, vessel_details, positions_range, positions_first_1000, positions_at,
         positions_at_box, positions_series, vessel_search, vessel_suggest, downsample_10s, pre_downsample_60s,
@@ -455,7 +497,7 @@ QUERIES: dict[str, Query] = {
         tracks_on_the_fly, vessel_positions, vessel_tracks, chosen_tracks_on_the_fly, vessel_record, partition_bbox, cell_prune, stored_positions, stored_tracks, stored_vessels, sql_views,
         wkb_round_trip, compacted_positions, backfilled_positions, import_summary, accumulated_positions,
         accumulated_vessels, accumulated_tracks, streamed_positions, streamed_positions_batched, streamed_vessels,
-        streamed_vessels_batched, ship_class,
+        streamed_vessels_batched, streamed_tracks, streamed_tracks_batched, ship_class,
     )
 }
 

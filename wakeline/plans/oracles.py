@@ -253,6 +253,10 @@ tracks AS (
 
 ALL_TRACKS = f"WITH RECURSIVE {CLEAN}, {_thinned()}, {SEGMENTED}, {TRACKS}"
 _TRACK_COLS = "* EXCLUDE (path)"
+# Of the positions as they are stored, in milliseconds.
+_STREAMED_TRACKS = f"""WITH RECURSIVE {CLEAN},
+stored AS (SELECT * REPLACE (date_trunc('millisecond', ts) AS ts) FROM clean),
+{_thinned('stored')}, {SEGMENTED}, {TRACKS} SELECT {_TRACK_COLS} FROM tracks"""
 
 # A leg touches the closed box: clip the leg's parameter range [0, 1] against each side in turn.
 _BOX = (9.0, 55.0, 9.2, 55.1)
@@ -500,6 +504,11 @@ def oracle_sql() -> dict[str, str]:
         "streamed_positions_batched": _STREAMED_POSITIONS,
         "streamed_vessels": _STREAMED_VESSELS,
         "streamed_vessels_batched": _STREAMED_VESSELS,
+        "archived_csv_positions": f"WITH {CLEAN} SELECT {_STORED_VALUES} FROM clean",
+        "archived_sentences": f"WITH {RAW}, {SENT_POSITIONS} SELECT {SENT_COLS} FROM sent",
+        "mixed_folder_positions": f"WITH {CLEAN} SELECT {_STORED_VALUES} FROM clean",
+        "streamed_tracks": _STREAMED_TRACKS,
+        "streamed_tracks_batched": _STREAMED_TRACKS,
         "ship_class": f"""WITH {CLEAN}, {NAMED}
             SELECT p.mmsi, p.ts,
                    CASE WHEN v.ship_type IS NOT NULL THEN {_CATEGORY_OF.format(c='v.ship_type')} ELSE 'other' END AS category,

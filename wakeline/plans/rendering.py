@@ -137,6 +137,64 @@ def landing_csv_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _write_archives(lines: DataFrame, folder: str, entry: str) -> None:
+    """Lines (name, part, seq, value) to one ZIP archive for each part, written by a task of its own, in order."""
+
+    def write(batches):
+        import os
+        import zipfile
+
+        import pyarrow as pa
+
+        archive = out = name = None
+
+        def close():
+            if archive:
+                out.close()
+                archive.close()
+                os.replace(f"{folder}/.{name}", f"{folder}/{name}")
+
+        for batch in batches:
+            for own, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
+                if own != name:
+                    close()
+                    name = own
+                    os.makedirs(folder, exist_ok=True)
+                    archive = zipfile.ZipFile(f"{folder}/.{name}", "w", zipfile.ZIP_DEFLATED)
+                    out = archive.open(entry, "w")
+                out.write(f"{value}\n".encode())
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+
+    rows = lines.repartition("name").sortWithinPartitions("name", "seq", "part").select("name", "value")
+    rows.mapInArrow(write, "n long").count()
+
+
+def daily_archives(spark: SparkSession, sf_dir: str) -> str:
+    """Import rows as daily CSV archives, named in the order of arrival: a day for each phase, repeats last."""
+    folder = scratch_path(spark, "daily-zip").removeprefix("file:")
+    names = DAILY_HEADER.split(",")
+    cells = _import_cells()
+    shown = [F.coalesce(F.translate(cells[n].cast("string"), ",", " ") if n in cells else F.lit(""), F.lit("")) for n in names]
+    rows = _import_rows(spark, sf_dir).select(_archive_name().alias("name"), F.lit(1).alias("part"), "seq", F.concat_ws(",", *shown).alias("value"))
+    header = rows.select("name").distinct().select("name", F.lit(0).alias("part"), F.lit(-1).cast("bigint").alias("seq"), F.lit(DAILY_HEADER).alias("value"))
+    _write_archives(header.unionByName(rows), folder, "data.csv")
+    return folder
+
+
+def _archive_name() -> Column:
+    phase = F.least(F.expr(f"seq div {D.SEQ_BLOCK}"), F.lit(60)).cast("int")
+    return F.concat(F.lit("aisdk-"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), phase), "yyyy-MM-dd"), F.lit(".zip"))
+
+
+def sentence_archives(spark: SparkSession, sf_dir: str) -> str:
+    """Raw positions as sentences in daily archives."""
+    folder = scratch_path(spark, "daily-nmea").removeprefix("file:")
+    rows = _position_lines(spark, sf_dir).select(_archive_name().alias("name"), "part", "seq", "value")
+    _write_archives(rows, folder, "log.nmea")
+    return folder
+
+
 # --- sentences ------------------------------------------------------------------------------------
 
 
@@ -195,7 +253,7 @@ def _write_lines(lines: DataFrame, label: str) -> str:
     return path
 
 
-def position_sentences(spark: SparkSession, sf_dir: str) -> str:
+def _position_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw positions as sentences. The speed fits its ten bits, so those above 102.2 become 102.2."""
     top = F.lit(102.2).cast("float")
     rows = D.raw_positions(spark, sf_dir).withColumn("sog", F.when(F.col("sog") > top, top).otherwise(F.col("sog")))
@@ -208,7 +266,11 @@ def position_sentences(spark: SparkSession, sf_dir: str) -> str:
         armour(_position_bits()),
         F.lit(",0*00"),
     )
-    return _write_lines(rows.select(sentence.alias("value"), "seq", F.lit(1).alias("part")), "positions-nmea")
+    return rows.select(sentence.alias("value"), "seq", F.lit(1).alias("part"))
+
+
+def position_sentences(spark: SparkSession, sf_dir: str) -> str:
+    return _write_lines(_position_lines(spark, sf_dir), "positions-nmea")
 
 
 def static_sentences(spark: SparkSession, sf_dir: str) -> str:

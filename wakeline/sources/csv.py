@@ -79,8 +79,16 @@ def read_csv_archives(spark: SparkSession, paths: str | list[str], line_limit: i
     return good_rows(_archive_rows(spark, first_lines_by_file(archive_lines(spark, paths, "csv"), line_limit)))
 
 
-def _archive_rows(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    headers = lines.filter("seq.block = 0 and seq.row = 0").select(F.col("seq.file").alias("_file"), F.col("value").alias("_header"))
+def parse_lines(spark: SparkSession, lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Parsed rows of CSV lines (value, seq) of any files, the line of row 0 being a file's header.
+
+    ``heads`` holds at least these first lines, where they can be had without reading all.
+    """
+    return good_rows(_archive_rows(spark, lines, heads))
+
+
+def _archive_rows(spark: SparkSession, lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    headers = (lines if heads is None else heads).filter("seq.block = 0 and seq.row = 0").select(F.col("seq.file").alias("_file"), F.col("value").alias("_header"))
     rows = lines.filter((F.col("seq.row") > 0) & (X.strip(F.col("value")) != ""))
     rows = rows.join(headers, F.col("seq.file") == F.col("_file"))
     scans = []
