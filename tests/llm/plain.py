@@ -52,26 +52,31 @@ def chunks(text):
     return found
 
 
+def units(text):
+    """(whole, first line, lines) of the chunks of two or more lines and of all pairs of neighbouring lines; blank ones are left out."""
+    lines = text.split("\n")
+    found = [(True, start, ls) for start, ls in chunks(text) if len(ls) >= 2]
+    found += [(False, at, lines[at : at + 2]) for at in range(len(lines) - 1)]
+    return [u for u in found if "".join(u[2]).strip(" \t\n\x0b\f\r")]
+
+
 def without_repeated_chunks(rows):
-    """(kept text, lines removed) by id, for unique ids."""
+    """(kept text, lines removed) by id, for unique ids: of equal chunks, and of equal pairs, the first stays."""
     places = defaultdict(list)
     for i, t in rows:
-        for start, lines in chunks(t) if t is not None else ():
-            if len(lines) >= 2:
-                places["\n".join(lines)].append((i is not None, i, start))
+        for whole, start, lines in units(t) if t is not None else ():
+            places[whole, "\n".join(lines)].append((i is not None, i, start))
     first = {c: min(p) for c, p in places.items()}
     out = {}
     for i, t in rows:
         if t is None:
             out[i] = (None, 0)
             continue
-        kept, removed = [], 0
-        for start, lines in chunks(t):
-            if len(lines) >= 2 and first["\n".join(lines)] != (i is not None, i, start):
-                removed += len(lines)
-            else:
-                kept += lines
-        out[i] = ("\n".join(kept), removed)
+        gone = set()
+        for whole, start, lines in units(t):
+            if first[whole, "\n".join(lines)] != (i is not None, i, start):
+                gone |= set(range(start, start + len(lines)))
+        out[i] = ("\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone), len(gone))
     return out
 
 

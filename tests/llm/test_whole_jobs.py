@@ -23,36 +23,29 @@ def test_near_copies_of_similarity_080_to_085_go(spark, sf_dir):
     assert {r.doc_id for r in got.collect()} == want == {1, 3, 4}
 
 
-def without_repeated_runs(rows):
-    """(kept text, lines removed) by id, for unique ids in ascending order: each line is in a pair seen before or stays."""
-    seen, out = set(), {}
-    for i, t in sorted(rows):
-        lines, gone = t.split("\n"), set()
-        for pair in ((at, at + 1) for at in range(len(lines) - 1)):
-            both = (lines[pair[0]], lines[pair[1]])
-            if "".join(both).strip() and both in seen:
-                gone |= set(pair)
-            seen.add(both)
-        out[i] = ("\n".join(x for n, x in enumerate(lines) if n not in gone), len(gone))
-    return out
-
-
 def test_short_shared_runs_go_whole(spark, sf_dir):
     run = [f"shared line {i}" for i in range(5)]
     rows = [(1, "\n".join(["first", *run, "end"]))]
     for n in range(2, 6):  # every length, each with other text around it
         rows.append((n, "\n".join([f"before {n}", *run[:n], f"after {n}", "", "", f"last {n}"])))
     rows += [(6, "x\nx\nx\nx"), (7, "a\nb\na\nb\na"), (8, "shared line 2"), (9, ""), (10, "\n".join(run))]
-    want = without_repeated_runs(rows)
+    want = plain.without_repeated_chunks(rows)
     assert [want[i][1] for i, _ in rows] == [0, 2, 3, 4, 5, 3, 3, 0, 0, 5]
-    found = line_chunks.remove_repeated_runs(spark.createDataFrame(rows, DOCS).repartition(3))
+    found = line_chunks.remove_repeated_chunks(spark.createDataFrame(rows, DOCS).repartition(3))
     assert {r.doc_id: (r.kept, r.n_removed) for r in found.collect()} == want
     left = corpus_pipeline.without_repeated_lines(spark, spark.createDataFrame(rows, DOCS), sf_dir)
     assert {r.doc_id: r.text for r in left.collect()} == {i: want[i][0] for i, _ in rows if i != 10}
-    nulls = line_chunks.remove_repeated_runs(spark.createDataFrame([(None, "p\nq"), (1, "p\nq"), (2, None)], DOCS)).collect()
+    nulls = line_chunks.remove_repeated_chunks(spark.createDataFrame([(None, "p\nq"), (1, "p\nq"), (2, None)], DOCS)).collect()
     assert {r.doc_id: (r.kept, r.n_lines) for r in nulls} == {None: ("p\nq", 2), 1: ("", 2), 2: (None, 0)}
 
 
+def test_long_texts_that_share_their_lines(spark):
+    lines = [f"line {i}" for i in range(100_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["other", *lines, "more"]))]
+    found = line_chunks.remove_repeated_chunks(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_removed", "kept").collect()
+    assert {r.doc_id: (r.n_removed, r.kept) for r in found} == {1: (0, rows[0][1]), 2: (100_000, "other\nmore")}
+
+
 def test_last_group_of_a_partition_is_balanced(monkeypatch):
     balanced, balance = [], packing.balance
     monkeypatch.setattr(packing, "balance", lambda sizes, parts: balanced.append(sum(sizes)) or balance(sizes, parts))

@@ -192,23 +192,27 @@ chunk AS (
     SELECT doc_id, chunk_no, min(i) AS first, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk
     FROM numbered GROUP BY doc_id, chunk_no
 ),
-gone AS (
-    SELECT doc_id, first, size
-    FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS FIRST, first) AS copy FROM chunk WHERE size >= 2)
-    WHERE copy > 1
+pair AS (
+    SELECT doc_id, i AS first, line || chr(10) || lead(line) OVER by_doc AS chunk
+    FROM line WINDOW by_doc AS (PARTITION BY doc_id ORDER BY i) QUALIFY i < n
 ),
-kept AS (
-    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept
-    FROM line WHERE NOT EXISTS (
-        SELECT 1 FROM gone WHERE gone.doc_id = line.doc_id AND line.i BETWEEN gone.first AND gone.first + gone.size - 1
+gone AS (
+    SELECT whole, doc_id, first, size
+    FROM (
+        SELECT *, row_number() OVER (PARTITION BY whole, chunk ORDER BY doc_id NULLS FIRST, first) AS copy
+        FROM (SELECT true AS whole, doc_id, first, size, chunk FROM chunk UNION ALL SELECT false, doc_id, first, 2, chunk FROM pair)
+        WHERE size >= 2 AND regexp_matches(chunk, '[^\\x20\\x09-\\x0D]')
     )
-    GROUP BY doc_id
+    WHERE copy > 1
 ),
-total AS (SELECT doc_id, sum(size)::BIGINT AS n_removed, count(*) AS n_chunks_removed FROM gone GROUP BY doc_id)
+gone_line AS (SELECT DISTINCT doc_id, unnest(range(first, first + size)) AS i FROM gone),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM line ANTI JOIN gone_line USING (doc_id, i) GROUP BY doc_id),
+total AS (SELECT doc_id, count(*) AS n_removed FROM gone_line GROUP BY doc_id),
+total_chunks AS (SELECT doc_id, count(*) AS n_chunks_removed FROM gone WHERE whole GROUP BY doc_id)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n_removed, 0) AS n_removed,
        coalesce(n_chunks_removed, 0) AS n_chunks_removed,
        CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
-FROM doc LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+FROM doc LEFT JOIN total USING (doc_id) LEFT JOIN total_chunks USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
