@@ -27,6 +27,7 @@ from wakeline.sources import files as FI
 from wakeline.sources import sentences as N
 from wakeline.sources import tables as TB
 from wakeline.streaming import incremental as ST
+from wakeline.streaming import logs as LO
 from wakeline.streaming import voyages as VO
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,6 +467,24 @@ def streamed_tracks_batched(spark, sf):
     return _streamed_tracks(spark, sf, 100)
 
 
+def _streamed_messages(spark, sf, files_per_batch: int) -> DataFrame:
+    state, landing = scratch_path(spark, "logs"), R.landing_logs(spark, sf)
+    for _ in range(2):  # the second start finds nothing new
+        lines = LO.stream_lines(spark, landing, files_per_batch)
+        LO.write_messages(lines, f"{state}/messages", state, r"^(.*)/[^/]*$", FALLBACK).awaitTermination()
+    return N.decode_static(LO.read_messages(spark, f"{state}/messages")).drop("seq")
+
+
+def streamed_sentences(spark, sf):
+    """Pieces of a sentence log as a stream, one file in a batch; parts of some messages lie in different batches."""
+    return _streamed_messages(spark, sf, 1)
+
+
+def streamed_sentences_batched(spark, sf):
+    """The same in batches of up to 100 files."""
+    return _streamed_messages(spark, sf, 100)
+
+
 # --- display values -------------------------------------------------------------------------------
 
 
@@ -497,7 +516,8 @@ QUERIES: dict[str, Query] = {
         tracks_on_the_fly, vessel_positions, vessel_tracks, chosen_tracks_on_the_fly, vessel_record, partition_bbox, cell_prune, stored_positions, stored_tracks, stored_vessels, sql_views,
         wkb_round_trip, compacted_positions, backfilled_positions, import_summary, accumulated_positions,
         accumulated_vessels, accumulated_tracks, streamed_positions, streamed_positions_batched, streamed_vessels,
-        streamed_vessels_batched, streamed_tracks, streamed_tracks_batched, ship_class,
+        streamed_vessels_batched, streamed_tracks, streamed_tracks_batched,
+        streamed_sentences, streamed_sentences_batched, ship_class,
     )
 }
 

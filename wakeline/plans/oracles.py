@@ -328,6 +328,17 @@ _COG_TEXT = "printf('%.1f', floor(CAST(p.cog AS DOUBLE) * 10 + 0.5) / 10) || '°
 _SOG_TEXT = "printf('%.1f', floor(CAST(p.sog AS DOUBLE) * 10 + 0.5) / 10) || ' kn'"
 
 
+_STATIC_MESSAGES = f"""WITH {STATIC}
+    SELECT mmsi, CASE WHEN seq % 3 = 0 THEN imo END AS imo,
+           CASE WHEN seq % 3 <> 1 THEN vessel_name END AS vessel_name, callsign,
+           CASE seq % 3 WHEN 0 THEN 70 WHEN 1 THEN 36 END AS ship_type,
+           CASE seq % 3 WHEN 0 THEN 'cargo' WHEN 1 THEN 'sailing_pleasure' END AS ship_type_desc,
+           CASE WHEN seq % 3 <> 2 AND length_m > 0 THEN length_m END AS length_m,
+           CASE WHEN seq % 3 = 0 THEN 9.0::DOUBLE END AS beam_m,
+           CASE WHEN seq % 3 = 0 THEN 5.7::DOUBLE END AS draught_m, destination, last_seen
+    FROM static"""
+
+
 def oracle_sql() -> dict[str, str]:
     named_join = "FROM clean p LEFT JOIN named v ON p.mmsi = v.mmsi"
     return {
@@ -362,15 +373,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT string_agg(payload, '' ORDER BY num), any_value(ts), done
             FROM newest GROUP BY file, key, start, done""",
         "nmea_decode_positions": f"WITH {RAW}, {SENT_POSITIONS} SELECT {SENT_COLS} FROM sent",
-        "nmea_decode_static": f"""WITH {STATIC}
-            SELECT mmsi, CASE WHEN seq % 3 = 0 THEN imo END AS imo,
-                   CASE WHEN seq % 3 <> 1 THEN vessel_name END AS vessel_name, callsign,
-                   CASE seq % 3 WHEN 0 THEN 70 WHEN 1 THEN 36 END AS ship_type,
-                   CASE seq % 3 WHEN 0 THEN 'cargo' WHEN 1 THEN 'sailing_pleasure' END AS ship_type_desc,
-                   CASE WHEN seq % 3 <> 2 AND length_m > 0 THEN length_m END AS length_m,
-                   CASE WHEN seq % 3 = 0 THEN 9.0::DOUBLE END AS beam_m,
-                   CASE WHEN seq % 3 = 0 THEN 5.7::DOUBLE END AS draught_m, destination, last_seen
-            FROM static""",
+        "nmea_decode_static": _STATIC_MESSAGES,
         "first_lines": f"""WITH {RAW}, {SENT_POSITIONS}
             SELECT {SENT_COLS} FROM (SELECT * FROM sent ORDER BY seq LIMIT 500)""",
         "validate_reasons": f"""WITH {CHECKED}
@@ -509,6 +512,8 @@ def oracle_sql() -> dict[str, str]:
         "mixed_folder_positions": f"WITH {CLEAN} SELECT {_STORED_VALUES} FROM clean",
         "streamed_tracks": _STREAMED_TRACKS,
         "streamed_tracks_batched": _STREAMED_TRACKS,
+        "streamed_sentences": _STATIC_MESSAGES,
+        "streamed_sentences_batched": _STATIC_MESSAGES,
         "ship_class": f"""WITH {CLEAN}, {NAMED}
             SELECT p.mmsi, p.ts,
                    CASE WHEN v.ship_type IS NOT NULL THEN {_CATEGORY_OF.format(c='v.ship_type')} ELSE 'other' END AS category,

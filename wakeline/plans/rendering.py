@@ -274,6 +274,28 @@ def position_sentences(spark: SparkSession, sf_dir: str) -> str:
 
 
 def static_sentences(spark: SparkSession, sf_dir: str) -> str:
+    """Static reports as sentences, one log."""
+    return _write_lines(_static_lines(spark, sf_dir, F.col("seq") % 10).select("seq", "part", "value"), "static-nmea")
+
+
+def landing_logs(spark: SparkSession, sf_dir: str) -> str:
+    """The same as pieces of one log that arrive in three groups of files; some messages are cut by the groups' ends.
+
+    The parts of a cut message lie in the first group and in one of the others. Until then its sequence id is its own.
+    """
+    turn = F.expr("seq div 3")
+    cut = (F.col("seq") % 3 == 0) & (turn % 50 == 0)
+    group_id = F.when(cut, F.concat(F.lit("s"), F.col("seq").cast("string"))).otherwise((F.col("seq") % 10).cast("string"))
+    lines = _static_lines(spark, sf_dir, group_id)
+    arrival = F.when(~cut, turn % 3).when(F.col("part") == 0, 0).otherwise(1 + turn % 2)
+    path = scratch_path(spark, "landing-nmea")
+    for group in range(3):
+        own = lines.where(arrival == group).repartitionByRange("seq").sortWithinPartitions("seq", "part")
+        own.select("value").write.mode("append").text(path)
+    return path
+
+
+def _static_lines(spark: SparkSession, sf_dir: str, group_id: Column) -> DataFrame:
     """Static reports as sentences: kind 0 as type 5 in two parts, kind 1 as type 24 B, kind 2 as 24 A."""
     rows = D.static_reports(spark, sf_dir)
     seq = F.col("seq")
@@ -296,7 +318,7 @@ def static_sentences(spark: SparkSession, sf_dir: str) -> str:
         _bits(F.lit(24), 6), _bits(zero, 2), mmsi, _bits(zero, 2), _text_bits(F.upper("vessel_name"), 20)
     )
     body = F.when(kind == 0, armour(type5)).when(kind == 1, armour(type24b)).otherwise(armour(type24a))
-    group = (seq % 10).cast("string")
+    group = group_id.cast("string")
     # Seconds throughout: as milliseconds these years would lie below the limit that tells them apart.
     tag = _tag(F.col("last_seen"), F.lit(0))
 
@@ -307,6 +329,4 @@ def static_sentences(spark: SparkSession, sf_dir: str) -> str:
 
     whole = F.concat(tag, F.lit("!AIVDM,1,1,,B,"), F.col("body"), F.lit(",0*00"))
     lines = F.when(kind == 0, F.array(part(1, 1, 56), part(2, 57, 100))).otherwise(F.array(whole))
-    return _write_lines(
-        rows.withColumn("body", body).select("seq", F.posexplode(lines).alias("part", "value")), "static-nmea"
-    )
+    return rows.withColumn("body", body).select("seq", F.posexplode(lines).alias("part", "value"))

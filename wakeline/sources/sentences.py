@@ -149,6 +149,30 @@ def assemble(sentences: DataFrame, file: Column | None = None, block: Column | N
     )
 
 
+def open_parts(sentences: DataFrame, file: Column) -> DataFrame:
+    """The parts of messages that later sentences may complete: of each file and key those of the last group, unless it is complete.
+
+    Of a part only the newest version stays. ``assemble`` gives the same for these and the sentences that follow as for all.
+    """
+    parts = sentences.filter("total <> 1 and total >= 0 and num >= 1").withColumn("_file", file)
+    start = F.when(F.col("num") == 1, F.struct("seq", "total"))
+    last = parts.groupBy("_file", "key").agg(F.max(start).alias("_group")).filter("_group is not null")
+    closing = F.when(F.col("num") == F.col("total"), F.col("seq"))
+    versions = (
+        parts.join(last, ["_file", "key"])
+        .filter("seq >= _group.seq and num <= _group.total")
+        .groupBy("_file", "key", "_group.total", "num")
+        .agg(
+            F.min("seq").alias("_first"),
+            F.max(closing).alias("_closing"),
+            F.max_by(F.struct("seq", "total", "payload", "ts"), "seq").alias("_part"),
+        )
+    )
+    complete = (F.count("*") == F.col("total")) & F.coalesce(F.max("_closing") >= F.max("_first"), F.lit(False))
+    still_open = versions.groupBy("_file", "key", "total").agg(complete.alias("_complete")).filter("not _complete")
+    return versions.join(still_open, ["_file", "key"], "left_semi").select("key", "num", "_part.*")
+
+
 def _join_to_group(parts: DataFrame) -> DataFrame:
     """Adds ``_group`` (seq, total, ts of the part 1 a sentence belongs to); others are dropped.
 

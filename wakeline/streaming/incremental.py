@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,12 +33,16 @@ def stream_csv(spark: SparkSession, landing: str, header: str, files_per_batch:
         .schema(layout)
         .csv(landing)
     )
-    file = F.struct(
+    return C.good_rows(C.parse(raw.select("*", file_place().alias("_file")), place, F.col("_file")))
+
+
+def file_place() -> Column:
+    """What orders the rows of a stream of files: modification time, path and place in the file."""
+    return F.struct(
         F.col("_metadata.file_modification_time").alias("at"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
     )
-    return C.good_rows(C.parse(raw.select("*", file.alias("_file")), place, F.col("_file")))
 
 
 def in_arrival_order(batch: DataFrame) -> DataFrame:
@@ -79,13 +85,30 @@ def import_stream(
     stream's record of a vessel replaces a stored one; other vessels stay. Tracks are built from the stored
     positions when asked for (``plans.queries.tracks_on_the_fly``).
     """
+
+    def read(batch: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        rows = stage(in_arrival_order(batch), "batch")
+        return C.positions_of(rows), C.vessel_reports_of(rows)
+
+    return start_import(parsed, read, store, checkpoint, available_now, cell_deg)
+
+
+def start_import(
+    arriving: DataFrame,
+    read: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]],
+    store: Store,
+    checkpoint: str,
+    available_now: bool,
+    cell_deg: float | None,
+) -> StreamingQuery:
+    """Start a stream that stores what ``read`` makes of a batch and its number: positions and static reports, with ``seq``."""
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
 
     def add_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = stage(in_arrival_order(batch), "batch")
-        add_positions(clean(C.positions_of(rows)), store, cell_deg)
-        state = merge_states(_field_state(C.vessel_reports_of(rows)))
+        positions, reports = read(batch, number)
+        add_positions(clean(positions), store, cell_deg)
+        state = merge_states(_field_state(reports))
         before, after = (f"{checkpoint}/vessel-fields/{n % 2}" for n in (number - 1, number))
         if number > 0 and table_exists(spark, before):
             known = spark.read.schema(state.schema).parquet(before)
@@ -98,7 +121,7 @@ def import_stream(
         write_vessels(records, store)
 
     return (
-        parsed.writeStream.foreachBatch(add_batch)
+        arriving.writeStream.foreachBatch(add_batch)
         .option("checkpointLocation", f"{checkpoint}/import")
         .trigger(**trigger)
         .start()
