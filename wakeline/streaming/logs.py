@@ -102,7 +102,7 @@ def write_messages(
     def write(batch: DataFrame, number: int) -> None:
         whole(batch, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/messages").trigger(**trigger).start()
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/log").trigger(**trigger).start()
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
