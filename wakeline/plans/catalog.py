@@ -23,6 +23,7 @@ from wakeline.plans import rendering as R
 from wakeline.session import configure, scratch_path, stage
 from wakeline.sources import archive_source as A
 from wakeline.sources import csv as C
+from wakeline.sources import extents as E
 from wakeline.sources import files as FI
 from wakeline.sources import sentences as N
 from wakeline.sources import tables as TB
@@ -327,6 +328,15 @@ def cell_prune(spark, sf):
     return hits.select("mmsi", "ts", "lon", "lat", "cell_x", "cell_y")
 
 
+def positions_by_extents(spark, sf):
+    """A box from a store whose catalog of file extents knows the first of two deliveries; files of the other are all read."""
+    store, rows = _store(spark), stage(_clean(spark, sf), "rows")
+    TB.write_positions(rows.filter("mmsi % 2 = 0"), store)
+    E.update(spark, store)
+    TB.write_positions(rows.filter("mmsi % 2 = 1"), store, mode="append")
+    return Q.stored_positions_in(spark, store, box=BOX, **RANGE).select("mmsi", "ts", "lon", "lat")
+
+
 def stored_positions(spark, sf):
     """Written twice: the second write replaces the partitions it touches and no others."""
     store = _store(spark)
@@ -513,7 +523,7 @@ QUERIES: dict[str, Query] = {
         vessel_upsert, enrich_positions, vessel_details, positions_range, positions_first_1000, positions_at,
         positions_at_box, positions_series, vessel_search, vessel_suggest, downsample_10s, pre_downsample_60s,
         segment_flags, track_build, track_build_pre60, track_summary, tracks_bbox, tracks_geojson,
-        tracks_on_the_fly, vessel_positions, vessel_tracks, chosen_tracks_on_the_fly, vessel_record, partition_bbox, cell_prune, stored_positions, stored_tracks, stored_vessels, sql_views,
+        tracks_on_the_fly, vessel_positions, vessel_tracks, chosen_tracks_on_the_fly, vessel_record, partition_bbox, cell_prune, positions_by_extents, stored_positions, stored_tracks, stored_vessels, sql_views,
         wkb_round_trip, compacted_positions, backfilled_positions, import_summary, accumulated_positions,
         accumulated_vessels, accumulated_tracks, streamed_positions, streamed_positions_batched, streamed_vessels,
         streamed_vessels_batched, streamed_tracks, streamed_tracks_batched,

@@ -465,6 +465,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT mmsi, date_trunc('millisecond', ts) AS ts, lon, lat, CAST(floor(lon + 180) AS INTEGER) AS cell_x,
                    CAST(floor(lat + 90) AS INTEGER) AS cell_y
             FROM clean WHERE {_IN_BOX} AND {_IN_RANGE.replace('ts ', "date_trunc('millisecond', ts) ")}""",
+        "positions_by_extents": f"""WITH {CLEAN}
+            SELECT mmsi, date_trunc('millisecond', ts) AS ts, lon, lat
+            FROM clean WHERE {_IN_BOX} AND {_IN_RANGE.replace('ts ', "date_trunc('millisecond', ts) ")}""",
         "stored_positions": f"""WITH {CLEAN},
             second AS (SELECT * FROM clean WHERE ts >= TIMESTAMP '2024-01-02' AND (sog IS NULL OR sog < 50)),
             placed AS (SELECT *, CAST(ts AS DATE) AS d, floor((lon + 180) / 5) AS x, floor((lat + 90) / 5) AS y FROM clean),

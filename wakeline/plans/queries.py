@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline import schema as S
@@ -18,6 +18,8 @@ from wakeline.operators.snapshots import latest_per_vessel, snapshot_series
 from wakeline.operators.tracks import build_tracks
 from wakeline.operators.validate import clean
 from wakeline.operators.vessels import enrich, vessel_details
+from wakeline.sources.extents import candidates
+from wakeline.sources.tables import Store
 
 POSITION_ORDER = ["mmsi", "ts", "msg_type", "lon", "lat"]
 
@@ -61,6 +63,11 @@ def filter_positions(
     return positions
 
 
+def stored_positions_in(spark: SparkSession, store: Store, **bounds) -> DataFrame:
+    """``filter_positions`` on a store, from the files that its catalog of extents leaves."""
+    return filter_positions(candidates(spark, store, **bounds), **bounds)
+
+
 POSITION_RESULT = [
     "mmsi", "ts", "geom_wkt", "sog", "cog", "heading", "nav_status", "rot", "msg_type",
     "vessel_name", "ship_type", "ship_type_desc", "length_m",

@@ -57,13 +57,26 @@ class Store:
     def catalog(self) -> str:
         return f"{self.root.rstrip('/')}/position_partitions"
 
+    @property
+    def extents(self) -> str:
+        return f"{self.root.rstrip('/')}/position_files"
+
 
 # --- reading --------------------------------------------------------------------------------------
 
 
-def read_positions(spark: SparkSession, store: Store) -> DataFrame:
-    """The stored positions. The cell size goes along as metadata of ``cell_x``, where box queries find it."""
-    rows = spark.read.schema(_STORED_POSITIONS).parquet(store.positions)
+def read_positions(spark: SparkSession, store: Store, files: list[str] | None = None) -> DataFrame:
+    """The stored positions, or those of some data files, given by their path below the table.
+
+    The cell size goes along as metadata of ``cell_x``, where box queries find it.
+    """
+    reader = spark.read.schema(_STORED_POSITIONS)
+    if files is None:
+        rows = reader.parquet(store.positions)
+    elif files:
+        rows = reader.option("basePath", store.positions).parquet(*[f"{store.positions}/{f}" for f in files])
+    else:
+        rows = spark.createDataFrame([], _STORED_POSITIONS)
     cell_deg = stored_cell_size(spark, store)
     if cell_deg is None:
         return rows
