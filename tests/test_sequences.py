@@ -63,6 +63,35 @@ def test_thinning_matches_the_sequential_rule(spark, vessels):
     assert len(kept) == len(want)
 
 
+def test_thinning_of_long_histories(spark):
+    """Vessels of 20 000 stretches: blocks of stretches, gaps longer than a block, stretches wholly blocked at a border."""
+    rng = random.Random(31)
+    block = 64 * 86_400
+    dense = [T0 + int(i * 21_600 * SECOND) + d * SECOND for i in range(20_000) for d in (-4, 3)]
+    uneven, at = [], T0
+    for _ in range(4_000):
+        at += rng.choice([4, 9, 10, 21_593, 21_600, 86_400, block, 3 * block - 5]) * SECOND
+        uneven.append(at)
+    border = (T0 // SECOND // block + 1) * block
+    edges = [(border + n * block + d) * SECOND for n in range(60) for d in rng.sample(range(-25, 25), 6)]
+    long = {MMSI: dense, MMSI + 1: uneven, MMSI + 2: sorted(set(edges)), MMSI + 3: [-9 * SECOND, -1 * SECOND, 8 * SECOND]}
+    rows = [(m, us, 1.0, 2.0, None, None, i) for m, ts in long.items() for i, us in enumerate(ts)]
+    for interval in (10, 60):
+        kept = downsample(frame(spark, rows), interval).select("mmsi", F.unix_micros("ts").alias("us")).collect()
+        want = {(m, ts[i]) for m, ts in long.items() for i in keep_spaced(ts, interval)}
+        assert {(r.mmsi, r.us) for r in kept} == want
+        assert len(kept) == len(want)
+
+
+def test_a_mooring_of_many_days(spark):
+    """A slow run over 300 days, with a count open over every midnight."""
+    times = [T0 + i * 1_500 * SECOND + (i % 7) * SECOND for i in range(17_000)]
+    rows = [(MMSI, us, 1.0, 2.0, 0.1, 5, i) for i, us in enumerate(times)]
+    got = segment_points(with_previous(frame(spark, rows)))
+    got = got.select(F.unix_micros("ts").alias("us"), F.unix_micros("segment_start").alias("start")).collect()
+    assert {(r.us, r.start) for r in got} == set(segment_starts([(us, 0.1, 5) for us in times]))
+
+
 def test_thinning_in_arrival_order(spark, vessels):
     rng = random.Random(5)
     rows, want = [], set()

@@ -5,8 +5,9 @@ large share of all rows. So the rule is run on fixed stretches of time per vesse
 
 1. inside a stretch the first kept report can only be one of the few reports of its first seconds. For
    each of these candidates a fold over the stretch gives the time of the last kept report;
-2. per vessel these small candidate tables (one per stretch) are chained, which fixes the last kept time
-   on entry to every stretch;
+2. these small candidate tables (one per stretch) are composed in blocks of stretches, the blocks chained
+   per vessel and their entry passed back along their stretches, which fixes the last kept row on entry to
+   every stretch;
 3. each stretch then picks its reports from its known entry time.
 
 Input is validated data with one row per vessel and second, so a stretch has a fixed maximum size.
@@ -22,6 +23,8 @@ from wakeline.functions.scalars import MICROS, floor_div, micros
 
 # Length of a stretch: at most 21,600 rows at one row per second.
 STRETCH_US = 6 * 3600 * MICROS
+# Stretches chained in one row: 64 days. A century of reports has 571 such blocks.
+CHAINED = 256
 # Rows folded at a time when a stretch picks its rows.
 BLOCK = 48
 
@@ -79,26 +82,75 @@ def _entries(stretches: DataFrame, interval: int, row_type: str) -> DataFrame:
 
     none_before = F.struct(F.lit(None).cast("bigint").alias("before"), candidates.alias("kept"))
     last_kept = F.aggregate(rows, none_before, advance, lambda acc: acc["kept"])
-    tables = stretches.select(
-        "mmsi",
-        F.struct(
-            "_stretch", F.transform(candidates, lambda r: r["_us"]).alias("first"), last_kept.alias("last")
-        ).alias("_t"),
-    )
+    place = F.transform(candidates, lambda r: r["_us"])
+    nothing = F.lit(None).cast(row_type)
+    table = F.struct("_stretch", place.alias("first"), last_kept.alias("last"), nothing.alias("through"))
+    return _along(stretches.select("mmsi", table.alias("_t")), interval, row_type)
+
+
+# A table says what a stretch, or a block of them, makes of the row kept before it: ``last`` is the row kept last
+# if ``first`` (the times of the candidates) begins to be free at that place, ``through`` the one kept last if all
+# candidates are blocked; null leaves the row that came in. A place behind the end of ``last`` means its end.
+
+
+def _outcome(t: Column, entry: Column, interval: int) -> Column:
+    """The row kept last after ``t``, if ``entry`` was kept last before it."""
+    place = F.size(F.filter(t["first"], lambda c: ~_far_enough(c, entry, interval)))
+    found = F.get(t["last"], F.least(place, F.size(t["last"]) - 1))
+    return F.when(place < F.size(t["first"]), found).otherwise(F.coalesce(t["through"], entry))
+
+
+def _composed(ts: Column, interval: int) -> Column:
+    """One table for a block of tables in time order.
+
+    What came in lies before the block's first stretch, and so at least a stretch before any later one, of which it
+    blocks nothing: behind the first stretch it counts as no row.
+    """
+
+    def step(acc: Column, t: Column) -> Column:
+        moved = F.transform(acc["last"], lambda r: _outcome(t, r, interval))
+        times = F.transform(moved, lambda r: r["_us"])
+        agreed = F.when(F.array_min(times) == F.array_max(times), F.slice(moved, 1, 1)).otherwise(moved)
+        return F.struct(
+            acc["_stretch"].alias("_stretch"),
+            acc["first"].alias("first"),
+            agreed.alias("last"),
+            _outcome(t, acc["through"], interval).alias("through"),
+        )
+
+    return F.aggregate(F.slice(ts, 2, F.size(ts)), F.get(ts, F.lit(0)), step)
+
+
+def _passed_on(ts: Column, entry: Column, interval: int, row_type: str) -> Column:
+    """Array of (_stretch, _entry) for tables in time order, given the row kept before the first."""
 
     def step(acc: Column, t: Column) -> Column:
-        entry = F.struct(t["_stretch"].alias("_stretch"), acc["last"].alias("_entry"))
-        place = F.size(F.filter(t["first"], lambda c: ~_far_enough(c, acc["last"], interval)))
-        outcome = F.get(t["last"], F.least(place, F.size(t["last"]) - 1))
+        here = F.struct(t["_stretch"].alias("_stretch"), acc["last"].alias("_entry"))
         return F.struct(
-            F.when(place < F.size(t["first"]), outcome).otherwise(acc["last"]).alias("last"),
-            F.concat(acc["entries"], F.array(entry)).alias("entries"),
+            _outcome(t, acc["last"], interval).alias("last"), F.concat(acc["entries"], F.array(here)).alias("entries")
         )
 
     none = F.array().cast(f"array<struct<_stretch:bigint,_entry:{row_type}>>")
-    start = F.struct(F.lit(None).cast(row_type).alias("last"), none.alias("entries"))
-    chained = tables.groupBy("mmsi").agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
-    return chained.select("mmsi", F.inline(F.aggregate("_ts", start, step, lambda acc: acc["entries"])))
+    return F.aggregate(ts, F.struct(entry.alias("last"), none.alias("entries")), step, lambda acc: acc["entries"])
+
+
+def _along(tables: DataFrame, interval: int, row_type: str) -> DataFrame:
+    """(mmsi, _stretch, _entry) from (mmsi, _t): blocks of stretches are composed, the blocks of a vessel chained, and
+    each block's entry then passed along its stretches. No row holds more than one block's tables, or one table
+    for each block of a vessel.
+    """
+    blocks = (
+        tables.groupBy("mmsi", floor_div(F.col("_t._stretch"), CHAINED).alias("_block"))
+        .agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
+        .filter(F.col("mmsi").isNotNull() & F.col("_block").isNotNull())
+    )
+    before = F.lit(None).cast(row_type)
+    whole = blocks.select("mmsi", _composed(F.col("_ts"), interval).alias("_t"))
+    chained = whole.groupBy("mmsi").agg(F.sort_array(F.collect_list("_t")).alias("_bs"))
+    found = chained.select("mmsi", F.inline(_passed_on(F.col("_bs"), before, interval, row_type)))
+    entered = found.select("mmsi", floor_div(F.col("_stretch"), CHAINED).alias("_block"), F.col("_entry").alias("_in"))
+    passed = _passed_on(F.col("_ts"), F.col("_in"), interval, row_type)
+    return blocks.join(entered, ["mmsi", "_block"]).select("mmsi", F.inline(passed))
 
 
 def _pick(rows: Column, entry: Column, interval: int, row_type: str) -> Column:

@@ -21,6 +21,8 @@ DAY_US = 86_400 * MICROS
 HOLD_US = S.PORT_CALL_SEC * MICROS
 # A slow run is cut at most every half hour, so a walk over the cuts of one day ends within this many steps.
 STEPS_PER_DAY = 86_400 // S.PORT_CALL_SEC + 1
+# Days of a run chained at a time.
+BLOCK = 64
 
 
 
@@ -214,9 +216,27 @@ def _open_counts(pieces: DataFrame) -> DataFrame:
         entry = F.struct(t["_day"].alias("_day"), t["_run"].alias("_run"), now.alias("_open"))
         return F.struct(after.alias("open"), F.concat(acc["entries"], F.array(entry)).alias("entries"))
 
-    none = F.array().cast(f"array<struct<_day:bigint,_run:bigint,_open:{_OPEN}>>")
-    start = F.struct(_no_count().alias("open"), none.alias("entries"))
-    entries = runs.select("mmsi", F.inline(F.aggregate("_ts", start, step, lambda acc: acc["entries"])))
+    entry_type = f"struct<_day:bigint,_run:bigint,_open:{_OPEN}>"
+    none = F.array().cast(f"array<{entry_type}>")
+
+    # Appending copies an array, so entries are gathered in short blocks, joined at the end.
+    def add_block(acc: Column, block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(acc["open"].alias("open"), none.alias("entries")),
+            step,
+            lambda own: F.struct(
+                own["open"].alias("open"), F.concat(acc["blocks"], F.array(own["entries"])).alias("blocks")
+            ),
+        )
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_ts") - 1) / BLOCK).cast("int")),
+        lambda b: F.slice("_ts", b * BLOCK + 1, F.lit(BLOCK)),
+    )
+    start = F.struct(_no_count().alias("open"), F.array().cast(f"array<array<{entry_type}>>").alias("blocks"))
+    chained = F.aggregate(blocks, start, add_block, lambda acc: F.flatten(acc["blocks"]))
+    entries = runs.select("mmsi", F.inline(chained))
     return entries.filter("_run = 0").select("mmsi", "_day", "_open")
 
 
