@@ -2,6 +2,8 @@
 
 import itertools
 import json
+import random
+import re
 import zlib
 
 import numpy as np
@@ -31,7 +33,7 @@ def test_components_of_chains_stars_and_cycles(spark):
 def test_forward_backward_sums_over_all_paths():
     rng = np.random.default_rng(0)
     scores, moves = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
-    marginal, expected = language.forward_backward(scores, language.chains(np.zeros(5, int)), moves)
+    marginal, expected = language.forward_backward(scores, language.chains(np.zeros(5, int))[0], moves)
     weights = {
         p: np.exp(sum(scores[i, y] for i, y in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:])))
         for p in itertools.product(range(3), repeat=5)
@@ -46,6 +48,52 @@ def test_forward_backward_sums_over_all_paths():
     assert np.allclose(expected, seen)
 
 
+def chain_by_word(scores, moves):
+    """Forward-backward over one chain, a word at a time."""
+    change, k = np.exp(moves), scores.shape[1]
+    ahead, behind = [np.exp(scores[0])], [np.ones(k)]
+    for row in scores[1:]:
+        ahead.append((ahead[-1] / ahead[-1].sum()) @ change * np.exp(row))
+    for row in scores[:0:-1]:
+        behind.append(change @ (np.exp(row) * behind[-1] / behind[-1].sum()))
+    both = np.array(ahead) * np.array(behind[::-1])
+    return both / both.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("lengths", [[1], [63, 64, 65], [700, 1, 128, 129], [64] * 4, [2000]])
+def test_chains_of_any_length_run_whole(lengths):
+    draw = np.random.default_rng(sum(lengths))
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    scores, moves = draw.normal(size=(len(owner), 3)), draw.normal(size=(3, 3)) * 2
+    grid, number = language.chains(owner)
+    got, _ = language.forward_backward(scores, grid, moves, number)
+    want = np.concatenate([chain_by_word(scores[owner == i], moves) for i in range(len(lengths))])
+    assert np.allclose(got, want)
+
+
+def test_language_of_whole_texts_equals_a_plain_field(monkeypatch):
+    """Features, weights, the chain over the whole text and the document's score, restated word by word."""
+    rng = random.Random(4)
+    vocabulary = {"de": "der hund läuft über straße wald".split(), "en": "the dog runs over street wood".split(), "fr": "le chien court forêt où été".split()}
+    sample = [(lang, " ".join(rng.choices(words, k=40))) for lang, words in vocabulary.items() for _ in range(12)]
+    model = language.train(sample)
+    mixed = " ".join(" ".join(rng.choices(rng.choice(list(vocabulary.values())), k=9)) for _ in range(60))
+    texts = [mixed, "der “hund” — läuft…½", "The DOG", mixed.replace(" ", " ½ — "), "straße"]
+    plain_words = [re.findall("[a-zäöüßéèêùûôœ]+", t.lower()) for t in texts]
+
+    def score(word):
+        one = language.words_of([word])
+        return model.scores(one)[0]
+
+    want = [chain_by_word(np.array([score(w) for w in words]), model.moves) for words in plain_words]
+    for size in (language.SLICE, 50):
+        monkeypatch.setattr(language, "SLICE", size)
+        share, count, sure = language.judge(model, texts)
+        assert count.tolist() == [len(w) for w in plain_words]
+        assert np.allclose(share, [w.mean(axis=0) for w in want])
+        assert np.allclose(sure, [w.max(axis=1).mean() for w in want])
+
+
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")

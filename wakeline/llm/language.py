@@ -1,9 +1,11 @@
 """Language identification of code-switched text by a linear-chain conditional random field over words.
 
-A word is a run of ASCII letters and non-ASCII bytes of the lower-cased text. Its features are byte n-grams of two to
+A word is a run of letters of the lower-cased text. Its features are byte n-grams of two to
 four bytes with the word's edges, prefixes and suffixes of up to five bytes, and its entry in a lexicon of words that
-the sample repeats. A chain is a run of at most ``CHAIN`` consecutive words of one document; transitions between the
-languages of neighbouring words are learned, and forward-backward gives every word's probability of each language.
+the sample repeats. Letters are those of Unicode, with the marks on them; any other character ends a word.
+A document's words are one chain, however long: it is worked out in blocks of ``CHAIN`` words, side by side, which hand
+their messages on exactly. Transitions between the languages of neighbouring words are learned, and forward-backward
+gives every word's probability of each language.
 A document's language has the largest mean probability over all its words; ties go to the first in order.
 
 The model learns on the driver from a bounded sample: at most ``SAMPLE`` different texts for each language, those with
@@ -16,6 +18,8 @@ learned; rows with null id are predicted too but not learned from; repeated rows
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,11 +39,13 @@ EPOCHS = 8
 BATCHES = 4
 STRETCH = 12  # mean words of a stretch in training chains
 LEXICON_COUNT = 3
-SLICE = 300_000  # characters scored together
+SLICE = 300_000  # characters whose features are worked out together; cut between words, chains go on
 UNKNOWN = "und"
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[list(range(97, 123)) + list(range(128, 256))] = True
+_BETWEEN_WORDS = re.compile("[\x00-@\\[-`{-\x7f]")
+_OTHER: dict[str, bool] = {}
 _MIX = odd_constants(8, 5)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,14 +85,30 @@ def _place(h: np.ndarray, kind: int) -> np.ndarray:
     return ((h * _MIX[kind]) >> np.uint64(64 - 17)).astype(np.int32)
 
 
+def _ends_word(char: str) -> bool:
+    if char not in _OTHER:
+        _OTHER[char] = not (char.isalpha() or unicodedata.category(char).startswith("M"))
+    return _OTHER[char]
+
+
+def _encoded(text: str) -> bytes:
+    """The lower-cased text in UTF-8, with a blank for each character outside ASCII that is no letter or mark."""
+    text = text.lower()
+    if not text.isascii():
+        others = "".join(sorted(c for c in set(text) if c > "\x7f" and _ends_word(c)))
+        text = re.sub(f"[{others}]", " ", text) if others else text
+    return b" " + text.encode("utf-8", "replace") + b" "
+
+
 def words_of(texts: list[str]) -> Words:
-    parts = [b" " + t.lower().encode() + b" " for t in texts]
-    raw = np.frombuffer(b"".join(parts) + b" " * 8, np.uint8)
+    parts = [_encoded(t) for t in texts]
+    pad = b" " * 8
+    raw = np.frombuffer(pad + b"".join(parts) + pad, np.uint8)
     inside = _IN_WORD[raw]
     data = np.where(inside, raw, np.uint8(32)).astype(np.uint64)
     edge = np.diff(inside.view(np.int8))
     starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-    limits = np.cumsum([len(p) for p in parts])
+    limits = len(pad) + np.cumsum([len(p) for p in parts])
     owner = np.searchsorted(limits, starts, side="right")
     grams = []
     gram = data
@@ -98,8 +120,10 @@ def words_of(texts: list[str]) -> Words:
             grams.append((size, _place(gram + np.uint64(size), 0)))
     affixes = []
     for size in (3, 5):
-        affixes.append(_place(wide[size][starts - 1], size - 2))
-        affixes.append(_place(wide[size][np.maximum(ends + 1 - size, 0)], size - 1))
+        # A short word has fewer bytes than that with its edges; what stands next to it does not count.
+        spare = np.uint64(8) * np.maximum(size - 2 - (ends - starts), 0).astype(np.uint64)
+        affixes.append(_place((wide[size][starts - 1] << spare) & np.uint64((1 << 8 * size) - 1), size - 2))
+        affixes.append(_place(wide[size][ends + 1 - size] >> spare, size - 1))
     power, inverse = _power_table(len(data))
     running = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * power, dtype=np.uint64)])
     hashes = (running[ends] - running[starts]) * inverse[starts]
@@ -132,46 +156,92 @@ class Model:
         return total
 
 
-def chains(owner: np.ndarray) -> np.ndarray:
-    """Word numbers by chain and position, -1 past a chain's end."""
+def chains(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers by block and position, -1 past a block's end, and each block's number within its chain."""
     n = len(owner)
     new = np.concatenate([[True], owner[1:] != owner[:-1]]) if n else np.empty(0, bool)
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    at = (np.arange(n) - first) % CHAIN
-    row = np.cumsum(at == 0) - 1
+    at = np.arange(n) - first
+    row = np.cumsum(at % CHAIN == 0) - 1
     grid = np.full((int(row[-1]) + 1 if n else 0, CHAIN), -1, np.int64)
-    grid[row, at] = np.arange(n)
-    return grid
+    grid[row, at % CHAIN] = np.arange(n)
+    return grid, at[at % CHAIN == 0] // CHAIN
+
 
+EVEN_OUT = 8  # products are brought back to a sum of one every so many words
 
-def forward_backward(scores: np.ndarray, grid: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The probability of each label for every word, and the expected moves summed over all chains."""
+
+def _messages(weight: np.ndarray, live: np.ndarray, number: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches each block from the blocks before it, behind the last of their words, and from those after it.
+
+    Each block's words are multiplied to one matrix, for all blocks at once; then these are passed along the chains.
+    """
+    k = len(change)
+    before, after = np.ones((len(number), k)), np.ones((len(number), k))
+    linked = np.flatnonzero(number > 0)
+    if not len(linked):
+        return before, after
+    rows = np.union1d(linked, linked - 1)
+    place = np.full(len(number), -1)
+    place[rows] = np.arange(len(rows))
+    first = number[rows] == 0
+    product = np.where(first[:, None, None], np.eye(k), change) * weight[0, rows][:, None, :]
+    whole = live[:, rows].all(axis=1)
+    for t in range(1, len(weight)):
+        longer = (product.reshape(-1, k) @ change).reshape(product.shape) * weight[t, rows][:, None, :]
+        product = longer if whole[t] else np.where(live[t, rows][:, None, None], longer, product)
+        if t % EVEN_OUT == 0:
+            product /= product.sum(axis=(1, 2), keepdims=True)
+    by_depth = linked[np.argsort(number[linked], kind="stable")]
+    steps = np.split(by_depth, np.flatnonzero(np.diff(number[by_depth])) + 1)
+    for here in steps:
+        out = np.einsum("bi,bij->bj", before[here - 1], product[place[here - 1]])
+        before[here] = out / out.sum(axis=1, keepdims=True)
+    for here in reversed(steps):
+        out = np.einsum("bij,bj->bi", product[place[here]], after[here])
+        after[here - 1] = out / out.sum(axis=1, keepdims=True)
+    return before, after
+
+
+def forward_backward(
+    scores: np.ndarray, grid: np.ndarray, moves: np.ndarray, number: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of each label for every word, and the expected moves summed over all blocks.
+
+    With ``number``, a block that is not its chain's first goes on from the row above, and the moves are not summed.
+    """
     k = scores.shape[1]
-    weight = np.exp(scores - scores.max(axis=1, keepdims=True))
-    weight = np.vstack([weight, np.ones((1, k))])  # row -1: past the end
-    change = np.exp(moves - moves.max())
+    likely = np.exp(scores - scores.max(axis=1, keepdims=True))
+    likely = np.vstack([likely, np.ones((1, k))])  # row -1: past the end
+    change, ones = np.exp(moves - moves.max()), np.ones((k, 1))
     length = int((grid >= 0).sum(axis=1).max(initial=0))
+    words = np.ascontiguousarray(grid.T[:length])
+    weight, live = likely[words], words >= 0
     ahead = np.empty((length, len(grid), k))
+    before, behind = np.ones((len(grid), k)), np.ones((len(grid), k))
+    if number is not None:
+        before, behind = _messages(weight, live, number, change)
     for t in range(length):
-        now = weight[grid[:, t]]
+        now = weight[t]
         if t:
             now = now * (ahead[t - 1] @ change)
-        ahead[t] = now / now.sum(axis=1, keepdims=True)
+        elif number is not None:
+            now = np.where(number[:, None] > 0, now * (before @ change), now)
+        ahead[t] = now / (now @ ones)
     result = np.empty_like(scores)
     expected = np.zeros((k, k))
-    behind = np.ones((len(grid), k))
     for t in range(length - 1, -1, -1):
-        live = grid[:, t] >= 0
         both = ahead[t] * behind
-        both /= both.sum(axis=1, keepdims=True)
-        result[grid[live, t]] = both[live]
+        both /= both @ ones
+        result[words[t, live[t]]] = both[live[t]]
         if t:
-            incoming = weight[grid[:, t]] * behind
-            pair = np.where(live[:, None], ahead[t - 1] / ((ahead[t - 1] @ change) * incoming).sum(axis=1, keepdims=True), 0)
-            expected += change * (pair.T @ incoming)
+            incoming = weight[t] * behind
+            if number is None:
+                reached = ((ahead[t - 1] @ change) * incoming) @ ones
+                expected += change * (np.where(live[t][:, None], ahead[t - 1] / reached, 0).T @ incoming)
             behind = incoming @ change.T
-            behind /= behind.sum(axis=1, keepdims=True)
-            behind[~live] = 1
+            behind /= behind @ ones
+            behind[~live[t]] = 1
     return result, expected
 
 
@@ -196,7 +266,7 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
         cut |= np.concatenate([[True], words.owner[1:] != words.owner[:-1]])
         stretch = np.cumsum(cut) - 1
         order = np.argsort(draw.permutation(stretch[-1] + 1)[stretch], kind="stable")
-        grid = chains(np.zeros(len(labels), np.int64))
+        grid, _ = chains(np.zeros(len(labels), np.int64))
         grid = np.where(grid >= 0, order[grid], -1)
         follow = (grid[:, 1:] >= 0).nonzero()
         seen = np.zeros((k, k))
@@ -234,41 +304,57 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
     return model
 
 
+def _slices(text: str) -> Iterator[str]:
+    """The text in pieces of about ``SLICE`` characters, cut between words."""
+    at = 0
+    while at < len(text):
+        cut = _BETWEEN_WORDS.search(text, at + SLICE)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def judge(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean word probabilities by text and language, words by text, and the mean of each word's largest probability.
 
-    Texts longer than a slice are read in slices.
+    Short texts are scored together. A text longer than a slice is scored slice by slice; of its slices only the words'
+    scores are kept, and its chain runs over all of them.
     """
     k = len(model.languages) if model else 0
     total, count, sure = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    parts: list[str] = []
-    owners: list[int] = []
-    size = 0
 
-    def add() -> None:
-        words = words_of(parts)
-        if not len(words.starts):
+    def add(parts: list[str], owners: list[int]) -> None:
+        # All texts but the last are shorter than a slice together.
+        pieces = [(parts[:-1], owners[:-1])] + [([piece], owners[-1:]) for piece in _slices(parts[-1])]
+        scores, found = [], []
+        for part, own in pieces:
+            words = words_of(part)
+            scores.append(model.scores(words))
+            found.append(np.array(own, np.int64)[words.owner])
+        owner = np.concatenate(found)
+        if not len(owner):
             return
-        marginal, _ = forward_backward(model.scores(words), chains(words.owner), model.moves)
-        owner = np.array(owners)[words.owner]
+        grid, number = chains(owner)
+        marginal, _ = forward_backward(np.concatenate(scores), grid, model.moves, number)
         for c in range(k):
             total[:, c] += np.bincount(owner, weights=marginal[:, c], minlength=len(texts))
         count[:] += np.bincount(owner, minlength=len(texts))
         sure[:] += np.bincount(owner, weights=marginal.max(axis=1), minlength=len(texts))
 
-    if model:
-        for i, text in enumerate(texts):
-            if text is None or not any(map(str.isalpha, text)):
-                continue
-            for at in range(0, len(text), SLICE):
-                parts.append(text[at : at + SLICE])
-                owners.append(i)
-                size += len(parts[-1])
-                if size >= SLICE:
-                    add()
-                    parts, owners, size = [], [], 0
-        if parts:
-            add()
+    parts: list[str] = []
+    owners: list[int] = []
+    size = 0
+    for i, text in enumerate(texts if model else []):
+        if text is None or not any(map(str.isalpha, text)):
+            continue
+        parts.append(text)
+        owners.append(i)
+        size += len(text)
+        if size >= SLICE:
+            add(parts, owners)
+            parts, owners, size = [], [], 0
+    if parts:
+        add(parts, owners)
     return total / np.maximum(count, 1)[:, None], count, sure / np.maximum(count, 1)
 
 
