@@ -334,3 +334,45 @@ def test_packing_null_and_repeated_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "x"), (1, "y"), (1, "y")], DOC)
     assert sorted((r.doc_id or 0, r.length) for r in packing.pack(df.coalesce(1), VOCABULARY).groupBy("doc_id").agg(F.sum("length").alias("length")).collect()) == [(0, 2), (1, 4)]
     assert packing.pack(df.limit(0), VOCABULARY).collect() == []
+
+
+def test_other_fields_do_not_hide_a_layout(spark):
+    more = {"id": 7, "source": {"name": "x", "tags": ["a", "b"]}, "score": None}
+    layouts = [
+        {"turn": 3, "role": "user", "text": "q"},
+        {"prompt": "q", "response": "a"},
+        {"system": "s", "instruction": "q", "output": "a"},
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+        {"messages": [{"author": {"role": "user"}, "content": {"text": "q"}}]},
+    ]
+    wider = [{**r, **more} for r in layouts]
+    wider[3]["messages"] = [{**m, "weight": 1} for m in layouts[3]["messages"]]
+    unknown = [
+        {"messages": [{"role": "user", "content": "q"}, "a"]},  # an element that is no message
+        {"messages": [{"role": "user", "content": {"parts": ["q"]}}], **more},
+        {"prompt": "q", **more},
+        {"messages": [], **more},
+    ]
+    rows = list(enumerate(json.dumps(r) for r in [*layouts, *wider, *unknown]))
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, record string"), "conv_id", "record")
+    got = {}
+    for r in turns.collect():
+        got.setdefault(r.conv_id, []).append((r.schema, r.turn, r.role, r.text))
+    n = len(layouts)
+    for i in range(n):
+        assert got[i] == got[n + i] and all(t[3] for t in got[i])
+    for i, record in enumerate(unknown):
+        assert got[2 * n + i] == [(chat.fingerprint(chat.field_paths(record)), None, None, None)]
+    digests = {r.conv_id: r for r in chat.conversation_digests(chat.formatted_turns(turns)).collect()}
+    assert [digests[i].n_turns for i in range(2 * n)] == [1, 2, 3, 2, 2, 1] * 2
+    for i in range(len(unknown)):
+        assert (digests[2 * n + i].n_turns, digests[2 * n + i].formatted_chars) == (0, 0)
+
+
+def test_the_mapping_with_most_fields_is_taken():
+    known = chat.table_of()
+    schema, mapping = chat.mapping_of({"prompt", "response", "instruction", "input", "output", "id"}, known, chat.MAPPINGS)
+    assert mapping.name == "instruction" and schema == chat.fingerprint(["instruction", "input", "output"])
+    assert chat.mapping_of({"prompt", "response", "completion"}, known, chat.MAPPINGS)[1].name == "prompt_response"
+    assert chat.mapping_of(set(), known, chat.MAPPINGS) == (chat.fingerprint([]), None)

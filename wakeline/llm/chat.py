@@ -3,7 +3,10 @@
 A record is a JSON object. The paths of its fields, with array steps as ``[]``, are sorted and hashed; the hash names
 the record's schema. A table of declarative mappings says for each known schema where the turns are, so a layout is
 added by adding an entry, not code. Fields a layout may lack are listed as optional, and every choice of them has its own
-fingerprint. A record of unknown schema gives no turns; its row keeps the fingerprint, so that a mapping can be added.
+fingerprint. Fields that no mapping reads (an id, a source) do not count: if the hash of all paths is unknown, those of
+each mapping's own fields in the record are looked up, most fields first, ties in the order of the mappings. What stands
+in place of a mapped field, above or below its path, is of another schema. A record of unknown schema gives no turns; its
+row keeps the fingerprint of all its fields, so that a mapping can be added.
 
 Template: a turn is ``### role: text</turn>`` and a line feed. Inside roles and texts a backslash is put before every
 backslash, every ``### `` and every ``</turn>``, and in roles before colons and line feeds too, so no text can end its
@@ -13,8 +16,9 @@ Every turn is formatted by itself and knows its place, so a conversation of any
 is that of its turns in order. The loss mask of a turn is the span of its text, for assistant turns.
 
 Defined results: null text is empty, null role is an empty role; records that are null or no JSON object have the
-fingerprint of no fields; turns are ordered by number, role and text; repeated rows are repeated turns; other columns
-and fields clash with nothing, as only mapped paths are read.
+fingerprint of no fields; a row whose turn, role and text are all null, as that of a record of unknown schema, holds no
+turn; turns are ordered by number, role and text; repeated rows are repeated turns; other columns and fields clash with
+nothing, as only mapped paths are read.
 """
 
 from __future__ import annotations
@@ -93,6 +97,26 @@ def table_of(mappings: Iterable[Mapping] = MAPPINGS) -> dict[str, Mapping]:
     return found
 
 
+def _in_the_way(path: str, mapped: str) -> bool:
+    """Whether a leaf at ``path`` lies above or below a mapped field, so that one of them is not what it seems."""
+    short, long = sorted((path, mapped), key=len)
+    return short != long and long.startswith(short) and long[len(short)] in ".["
+
+
+def mapping_of(paths: set[str], known: dict[str, Mapping], mappings: Iterable[Mapping]) -> tuple[str, Mapping | None]:
+    """The schema of a record with these paths, and its mapping if there is one."""
+    schema = fingerprint(paths)
+    if schema in known:
+        return schema, known[schema]
+    best: tuple[int, str, Mapping | None] = (0, schema, None)
+    for m in mappings:
+        own = paths.intersection(m.paths())
+        chosen = fingerprint(own)
+        if len(own) > best[0] and known.get(chosen) == m and not any(_in_the_way(p, q) for p in paths for q in m.paths()):
+            best = len(own), chosen, m
+    return best[1:]
+
+
 def _at(value: object, path: str) -> object:
     for step in path.split("."):
         value = value.get(step) if isinstance(value, dict) else None
@@ -132,8 +156,7 @@ def _canonical(mappings: tuple[Mapping, ...]):
             rows = []
             for conv, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 value = _parsed(record)
-                schema = fingerprint(field_paths(value))
-                mapping = known.get(schema)
+                schema, mapping = mapping_of(field_paths(value), known, mappings)
                 if mapping is None:
                     rows.append((conv, schema, None, None, None))
                 else:
@@ -158,14 +181,18 @@ def _escaped(text: Column, more: str = "") -> Column:
 
 
 def formatted_turns(turns: DataFrame) -> DataFrame:
-    """``turns`` with role and text made non-null, ``formatted``, and the loss span in it (from, to; null without loss)."""
-    known = turns.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    """``turns`` with role and text made non-null, ``formatted`` (empty for a row without turn), and the loss span in it
+    (from, to; null without loss).
+    """
+    no_turn = F.col("turn").isNull() & F.col("role").isNull() & F.col("text").isNull()
+    given = {"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit("")), "formatted": no_turn}
+    known = turns.withColumns(given)
     head = F.concat(F.lit(OPEN), _escaped(F.col("role"), r"|:|\n"), F.lit(": "))
     body = _escaped(F.col("text"))
     trained = F.col("role") == ASSISTANT
     return known.withColumns(
         {
-            "formatted": F.concat(head, body, F.lit(CLOSE + "\n")),
+            "formatted": F.when(F.col("formatted"), "").otherwise(F.concat(head, body, F.lit(CLOSE + "\n"))),
             "loss_from": F.when(trained, F.char_length(head)),
             "loss_to": F.when(trained, F.char_length(head) + F.char_length(body)),
         }
