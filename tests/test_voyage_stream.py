@@ -4,6 +4,7 @@ import random
 
 import pytest
 import sequential
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wakeline import schema as S
@@ -37,6 +38,73 @@ def test_state_follows_the_sequential_rules():
         assert {us for us, p in given.items() if p[5] is None} == {us for us, start in want.items() if us == start}
 
 
+class _State:
+    """Counts the calls to the state of one vessel."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def listTimers(self):  # noqa: N802
+        self.calls.append("list")
+        return list(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return 1_000 * len(self.calls)
+
+
+def test_a_vessel_costs_a_few_calls_to_its_state_in_a_batch():
+    """Most vessels have few reports in a batch, so the time of a batch is that of these calls."""
+    state = _State()
+    processor = VO.VoyageProcessor()
+    processor.init(state)
+    report = Row("us", "lat", "lon", "sog", "nav_status", "payload", "at", "file", "block", "row")
+
+    def batch(*rows):
+        state.calls.clear()
+        return [r.asDict() for r in processor.handleInputRows((5,), iter(rows), state)]
+
+    start = 1_700_000_000_000_000
+    at = [report(start + s * 1_000_000, 55.0, 11.0, 4.0, None, str(s), 1, "a", 0, -s) for s in (0, 60, 60, 30)]
+    first = report(*at[2][:5], "first", *at[2][6:9], -99)
+    out = batch(at[0], at[1], first, at[3])
+    assert [(r["kind"], r["payload"]) for r in out if r["kind"] == "position"] == [("position", "0"), ("position", "30"), ("position", "first")]
+    assert len([r for r in out if r["kind"] == "point"]) == 3 and all(r["segment_us"] == start for r in out if r["kind"] == "point")
+    assert len(state.calls) <= 3 and len(state.timers) == 1
+    late = report(start + 1, 55.0, 11.0, None, None, "late", 2, "b", 0, 0)
+    out = batch(late, report(start + 90_000_000, 55.0, 11.0, None, 5, "90", 2, "b", 0, 1))
+    assert [r["kind"] for r in out] == ["late", "position", "point"] and len(state.timers) == 1
+    assert sorted(state.calls) == ["delete", "get", "register", "update"]
+    assert batch(late)[0]["kind"] == "late" and state.calls == ["get"]
+    # A state saved before the timer was kept with it: the timers are listed once.
+    newest, saved = state.value
+    state.value = newest, saved.rsplit(",", 1)[0] + "]"
+    batch(report(start + 120_000_000, 55.0, 11.0, 4.0, 0, "120", 3, "c", 0, 0))
+    assert "list" in state.calls and len(state.timers) == 1
+
+
 def _line(mmsi, second, sog=5.0, status=0, lat=55.0):
     day, rest = divmod(second, 86_400)
     return f"{mmsi},2024-03-{day + 1:02d}T{rest // 3600:02d}:{rest % 3600 // 60:02d}:{rest % 60:02d}Z,{lat},11,{sog},6,7,{status},0,1"

@@ -22,9 +22,8 @@ import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -45,6 +44,7 @@ PAYLOAD_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PAYL
 ORDER = ["at", "file", "block", "row"]
 INPUT = "mmsi long, us long, lat double, lon double, sog float, nav_status int, payload string, at long, file string, block long, row long"
 OUTPUT = "kind string, mmsi long, us long, segment_us long, lat double, lon double, from_lat double, from_lon double, payload string"
+OUT = Row(*[column.split()[0] for column in OUTPUT.split(", ")])
 POINTS = "mmsi long, ts timestamp, lon double, lat double, sog float, segment_start timestamp, leg_nm double, batch long"
 SILENCE_MS = S.GAP_SEC * 1000
 
@@ -53,11 +53,12 @@ class Voyage:
     """The state of one vessel, and the rules on its next report."""
 
     def __init__(self, saved: str | None):
-        self.last, self.segment, self.run = json.loads(saved) if saved else (None, None, [])
+        # A state of before the timer was kept with it ends here; then the timers are listed once.
+        self.last, self.segment, self.run, self.timer = ([*json.loads(saved), None] if saved else [None, None, [], None])[:4]
         self.points: dict[int, tuple] = {}  # given out in this batch: the newest version of each
 
     def saved(self) -> str:
-        return json.dumps([self.last, self.segment, self.run])
+        return json.dumps([self.last, self.segment, self.run, self.timer])
 
     def take(self, us: int, lat: float, lon: float, slow: bool, still: bool, payload: str) -> None:
         before = self.last
@@ -87,18 +88,22 @@ class Voyage:
         self.points[us] = ("point", us, self.segment, lat, lon, from_lat, from_lon, payload)
 
 
-def _first_reports(rows: Iterable[pd.DataFrame]) -> pd.DataFrame:
-    """The earliest report of every second, by time; repeats go as the chunks come."""
-    held = None
-    for chunk in rows:
-        both = chunk if held is None else pd.concat([held, chunk])
-        both = both.assign(second=both["us"] // MICROS).sort_values(["second", *ORDER])
-        held = both.drop_duplicates("second")
-    return held
+def _first_reports(rows: Iterable[Row]) -> list[tuple[int, Row]]:
+    """The earliest report of every second, by time; repeats go as the rows come."""
+    held = {}
+    for row in rows:
+        second, order = row.us // MICROS, (row.at, row.file, row.block, row.row)
+        if second not in held or order < held[second][0]:
+            held[second] = order, row
+    return [(second, held[second][1]) for second in sorted(held)]
 
 
 class VoyageProcessor(StatefulProcessor):
-    """Positions of a vessel to new positions, late ones, and points with their segment."""
+    """Positions of a vessel to new positions, late ones, and points with their segment.
+
+    Most vessels have few reports in a batch, so the rows are handled as they come: a table of a library for each vessel, and
+    calls to the state beyond one read, one write and its timer's, would cost more than the rules.
+    """
 
     def __init__(self, silence_ms: int = SILENCE_MS):
         self.silence_ms = silence_ms
@@ -107,39 +112,34 @@ class VoyageProcessor(StatefulProcessor):
         self._handle = handle
         self._vessel = handle.getValueState("vessel", "newest long, voyage string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         (mmsi,) = key
-        newest, saved = self._vessel.get() if self._vessel.exists() else (None, None)
+        newest, saved = self._vessel.get() or (None, None)
         voyage = Voyage(saved)
-        reports = _first_reports(rows)
-        late = np.zeros(len(reports), bool) if newest is None else reports["second"].to_numpy() <= newest
-        out = [
-            ("late" if old else "position", us, None, None, None, None, None, payload)
-            for old, us, payload in zip(late.tolist(), reports["us"].tolist(), reports["payload"].tolist())
-        ]
-        fresh = reports[~late]
-        slow = (fresh["sog"] < S.PORT_CALL_SOG).tolist()
-        still = fresh["nav_status"].isin(S.STATIONARY_STATUS).tolist()
-        for us, lat, lon, *flags, payload in zip(*(fresh[c].tolist() for c in ("us", "lat", "lon")), slow, still, fresh["payload"].tolist()):
-            voyage.take(us, lat, lon, *flags, payload)
-        if len(fresh):
-            self._vessel.update((int(fresh["second"].iloc[-1]), voyage.saved()))
-            for timer in list(self._handle.listTimers()):
+        fresh = False
+        for second, row in _first_reports(rows):
+            late = newest is not None and second <= newest
+            yield OUT("late" if late else "position", mmsi, row.us, None, None, None, None, None, row.payload)
+            if not late:
+                fresh = True
+                slow = row.sog is not None and row.sog < S.PORT_CALL_SOG
+                voyage.take(row.us, row.lat, row.lon, slow, row.nav_status in S.STATIONARY_STATUS, row.payload)
+        if fresh:
+            timers = list(self._handle.listTimers()) if saved and voyage.timer is None else [voyage.timer] * bool(saved)
+            for timer in timers:
                 self._handle.deleteTimer(timer)
-            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silence_ms)
-        yield self._frame(mmsi, out + list(voyage.points.values()))
+            voyage.timer = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
+            self._handle.registerTimer(voyage.timer)
+            self._vessel.update((second, voyage.saved()))
+        for kind, us, segment, *rest in voyage.points.values():
+            yield OUT(kind, mmsi, us, segment, *rest)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         (mmsi,) = key
-        if self._vessel.exists():
-            voyage = Voyage(self._vessel.get()[1])
-            yield self._frame(mmsi, [("silent", voyage.last[0], voyage.segment, None, None, None, None, None)])
-
-    @staticmethod
-    def _frame(mmsi: int, rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["kind", "us", "segment_us", "lat", "lon", "from_lat", "from_lon", "payload"])
-        frame.insert(1, "mmsi", mmsi)
-        return frame.astype({"us": "int64", "segment_us": "Int64", **dict.fromkeys(("lat", "lon", "from_lat", "from_lon"), "float64")})
+        known = self._vessel.get()
+        if known:
+            voyage = Voyage(known[1])
+            yield OUT("silent", mmsi, voyage.last[0], voyage.segment, None, None, None, None, None)
 
     def close(self) -> None:
         pass
@@ -169,7 +169,7 @@ def voyage_stream(parsed: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame:
     spark = parsed.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     by_vessel = _reports(parsed).groupBy("mmsi")
-    return by_vessel.transformWithStateInPandas(VoyageProcessor(silence_ms), OUTPUT, "Append", "ProcessingTime")
+    return by_vessel.transformWithState(VoyageProcessor(silence_ms), OUTPUT, "Append", "ProcessingTime")
 
 
 def _positions(out: DataFrame, kinds: list[str]) -> DataFrame:
