@@ -82,3 +82,16 @@ def test_staged_table_cuts_the_lineage(spark):
     assert "FileScan parquet" in plan
     assert "Exchange" not in plan
     assert sorted(tuple(r) for r in staged.collect()) == [(0, 18), (1, 12), (2, 15)]
+
+
+def test_pieces_of_a_landing_log_do_not_grow_with_the_tasks(spark, sf_dir):
+    """One file is one batch of the stream, so their number is the receiver's, not that of the writing tasks."""
+    from wakeline.plans import rendering as R
+
+    key, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, "23")
+    try:
+        pieces = spark.read.format("binaryFile").load(R.landing_logs(spark, sf_dir)).select("path").count()
+    finally:
+        spark.conf.set(key, before)
+    assert pieces <= 3 * R.GROUP_FILES

@@ -156,3 +156,37 @@ def test_line_order_is_kept_over_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == list(range(30_000))
+
+
+def test_the_encoder_names_a_text_once_and_takes_any_letters(spark):
+    """Bits and texts are computed in a selection of their own: used in several places, they would be worked out in each."""
+    from wakeline.functions import payload as P
+    from wakeline.plans import rendering as R
+
+    texts = ["SHIP 12", "", None, "A@b~z", "x" * 30, "\u00e9\u0250\u4e2d\U0001f600", "\x01\x7f 9"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    coded = R._with_text_bits(rows, {"b": (F.col("t"), 20)})
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unbase64") == 1
+    for r in coded.collect():
+        padded = (r.t or "")[:20].ljust(20, "@")
+        assert r.b == "".join(f"{ord(c) % 64:06b}" for c in padded)
+    for width in (1, 6, 49, 168, 424):
+        bits = "".join(str(i * i % 7 % 2) for i in range(width))
+        want = "".join(P.ARMOUR[int(bits[i : i + 6].ljust(6, "0"), 2)] for i in range(0, width, 6))
+        got = spark.createDataFrame([(bits,), (None,)], "bits string").select(R.armour("bits", 424).alias("p")).collect()
+        assert [r.p for r in got] == [want, None]
+
+
+def test_text_fields_are_read_without_a_step_for_each_letter(spark):
+    from wakeline.functions import payload as P
+
+    payloads = ["".join(P.ARMOUR[(i * k + 3) % 64] for i in range(n)) for k, n in ((5, 71), (7, 28), (11, 20), (3, 9), (1, 2))]
+    rows = P.with_bits(spark.createDataFrame([(p,) for p in payloads], "payload string"))
+    for start, chars in ((112, 20), (40, 20), (70, 7), (90, 7), (302, 20)):
+        read = rows.select("payload", P.text(start, chars).alias("t"))
+        assert "transform(" not in read._jdf.queryExecution().optimizedPlan().toString()
+        for r in read.collect():
+            bits = "".join(f"{P.ARMOUR.index(c):06b}" for c in r.payload)
+            ends = range(start + 6, min(start + chars * 6, len(bits)) + 1, 6)
+            assert r.t == "".join(P.TEXT[int(bits[e - 6 : e], 2)] for e in ends)

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeline.functions import payload as P
 from wakeline.plans import derived as D
-from wakeline.session import scratch_path
+from wakeline.session import scratch_path, stage
 
 # Fixed value: the header of the national daily files.
 DAILY_HEADER = (
@@ -132,8 +133,9 @@ def landing_csv_files(spark: SparkSession, sf_dir: str) -> str:
     text = [cells.get(n, F.lit(None)).cast("string").alias(n) for n in names]
     parts = [phase <= 2, (phase > 2) & (phase <= 4), (phase > 4) & (phase <= 7), (phase > 7) & (phase < 1000), phase >= 1000]
     for part in parts:
-        own = rows.filter(part).repartition(1).sortWithinPartitions("seq")
-        own.select(*text).write.mode("append").option("header", "true").csv(path)
+        # The text is made by all tasks; the one that writes the file only puts it in order.
+        own = rows.filter(part).select(*text, "seq").repartition(1).sortWithinPartitions("seq")
+        own.drop("seq").write.mode("append").option("header", "true").csv(path)
     return path
 
 
@@ -203,20 +205,37 @@ def _bits(value: Column, width: int) -> Column:
     return F.lpad(F.bin(F.when(whole < 0, whole + (1 << width)).otherwise(whole)), width, "0")
 
 
-def _text_bits(text: Column, chars: int) -> Column:
-    letters = F.split(F.rpad(F.substring(F.coalesce(text, F.lit("")), 1, chars), chars, "@"), "")
-    return F.array_join(F.transform(letters, lambda c: _bits(F.ascii(c) % 64, 6)), "")
+# Characters that one translation turns into payload values, and those it does not know.
+LETTERS = "".join(map(chr, range(1, 592)))
+OTHER_LETTERS = "[^\\x01-\\u024f]"
 
 
-def armour(bits: Column) -> Column:
-    """Bit text to payload characters; the last character is filled up with zero bits."""
-    groups = F.regexp_extract_all(F.concat(bits, F.lit("00000")), F.lit("[01]{6}"), F.lit(0))
+def _with_text_bits(rows: DataFrame, texts: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Adds bit texts: six bits for each character of a text, its code modulo 64.
 
-    def one(group: Column) -> Column:
-        value = F.conv(group, 2, 10).cast("int")
-        return F.char(F.when(value < 40, value + 48).otherwise(value + 56))
+    Each step is a selection of its own, so that it is computed once.
+    """
+    rows = rows.withColumns({f"{n}_text": F.rpad(F.substring(F.coalesce(t, F.lit("")), 1, chars), chars, "@") for n, (t, chars) in texts.items()})
+    base64 = "".join(P.BASE64[ord(c) % 64] for c in LETTERS)
+    whole = {n: -(-chars // 8) * 8 for n, (_, chars) in texts.items()}
+    known = {n: F.when(~F.col(f"{n}_text").rlike(OTHER_LETTERS), F.translate(f"{n}_text", LETTERS, base64)) for n in texts}
+    rows = rows.withColumns({f"{n}_hex": F.hex(F.unbase64(F.rpad(known[n], w, F.lit("A")))) for n, w in whole.items()})
+
+    def bits(name: str, chars: int) -> Column:
+        steps = [F.lpad(F.conv(F.substring(f"{name}_hex", i + 1, 12), 16, 2), 48, "0") for i in range(0, whole[name] * 3 // 2, 12)]
+        each = F.transform(F.split(f"{name}_text", ""), lambda c: _bits(F.ascii(c) % 64, 6))
+        return F.when(F.col(f"{name}_hex").isNull(), F.array_join(each, "")).otherwise(F.substring(F.concat(*steps), 1, chars * 6))
+
+    return rows.withColumns({n: bits(n, chars) for n, (_, chars) in texts.items()})
 
-    return F.array_join(F.transform(groups, one), "")
+
+def armour(bits: str, width: int) -> Column:
+    """A column of up to ``width`` bits to payload characters; the last character is filled up with zero bits."""
+    whole = -(-width // 48) * 48
+    padded = F.rpad(bits, whole, F.lit("0"))
+    digits = [F.lpad(F.conv(F.substring(padded, i + 1, 48), 2, 16), 12, "0") for i in range(0, whole, 48)]
+    letters = F.translate(F.base64(F.unhex(F.concat(*digits))), P.BASE64, P.ARMOUR)
+    return F.substring(letters, F.lit(1), F.ceil(F.length(bits) / 6).cast("int"))
 
 
 def _position_bits() -> Column:
@@ -247,23 +266,27 @@ def _tag(ts: Column, seq: Column) -> Column:
 
 
 def _write_lines(lines: DataFrame, label: str) -> str:
-    # Ranges of seq alone: all parts of a message belong into one file.
+    """Write lines made of rows that lie in ranges of ``seq``, so all parts of a message go to one file."""
     path = scratch_path(lines.sparkSession, label)
-    lines.repartitionByRange("seq").sortWithinPartitions("seq", "part").select("value").write.text(path)
+    lines.sortWithinPartitions("seq", "part").select("value").write.text(path)
     return path
 
 
 def _position_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw positions as sentences. The speed fits its ten bits, so those above 102.2 become 102.2."""
+    """Raw positions as sentences. The speed fits its ten bits, so those above 102.2 become 102.2.
+
+    The rows are dealt out by ranges of ``seq`` before they are encoded: their scan may be a few tasks only.
+    """
     top = F.lit(102.2).cast("float")
-    rows = D.raw_positions(spark, sf_dir).withColumn("sog", F.when(F.col("sog") > top, top).otherwise(F.col("sog")))
+    rows = D.raw_positions(spark, sf_dir).repartitionByRange("seq").withColumn("sog", F.when(F.col("sog") > top, top).otherwise(F.col("sog")))
+    rows = rows.withColumn("bits", _position_bits())
     seq = F.col("seq")
     sentence = F.concat(
         F.when(seq % 7 == 0, "").otherwise(_tag(F.col("ts"), seq)),
         F.lit("!AIVDM,1,1,,"),
         F.when(seq % 2 == 0, "A").otherwise("B"),
         F.lit(","),
-        armour(_position_bits()),
+        armour("bits", 168),
         F.lit(",0*00"),
     )
     return rows.select(sentence.alias("value"), "seq", F.lit(1).alias("part"))
@@ -278,6 +301,10 @@ def static_sentences(spark: SparkSession, sf_dir: str) -> str:
     return _write_lines(_static_lines(spark, sf_dir, F.col("seq") % 10).select("seq", "part", "value"), "static-nmea")
 
 
+# Files of a group of a landing log. Their number is the receiver's, not that of the tasks that write them.
+GROUP_FILES = 4
+
+
 def landing_logs(spark: SparkSession, sf_dir: str) -> str:
     """The same as pieces of one log that arrive in three groups of files; some messages are cut by the groups' ends.
 
@@ -286,18 +313,25 @@ def landing_logs(spark: SparkSession, sf_dir: str) -> str:
     turn = F.expr("seq div 3")
     cut = (F.col("seq") % 3 == 0) & (turn % 50 == 0)
     group_id = F.when(cut, F.concat(F.lit("s"), F.col("seq").cast("string"))).otherwise((F.col("seq") % 10).cast("string"))
-    lines = _static_lines(spark, sf_dir, group_id)
     arrival = F.when(~cut, turn % 3).when(F.col("part") == 0, 0).otherwise(1 + turn % 2)
+    # Encoded once, by all tasks; each group is then only put in order and written.
+    lines = stage(_static_lines(spark, sf_dir, group_id).withColumn("arrival", arrival), "lines")
     path = scratch_path(spark, "landing-nmea")
     for group in range(3):
-        own = lines.where(arrival == group).repartitionByRange("seq").sortWithinPartitions("seq", "part")
+        own = lines.where(F.col("arrival") == group).repartitionByRange(GROUP_FILES, "seq").sortWithinPartitions("seq", "part")
         own.select("value").write.mode("append").text(path)
     return path
 
 
 def _static_lines(spark: SparkSession, sf_dir: str, group_id: Column) -> DataFrame:
-    """Static reports as sentences: kind 0 as type 5 in two parts, kind 1 as type 24 B, kind 2 as 24 A."""
-    rows = D.static_reports(spark, sf_dir)
+    """Static reports as sentences: kind 0 as type 5 in two parts, kind 1 as type 24 B, kind 2 as 24 A.
+
+    The rows are dealt out by ranges of ``seq`` before they are encoded: their scan may be a few tasks only.
+    """
+    rows = D.static_reports(spark, sf_dir).repartitionByRange("seq")
+    rows = _with_text_bits(
+        rows, {"call_bits": (F.col("callsign"), 7), "name_bits": (F.upper("vessel_name"), 20), "port_bits": (F.col("destination"), 20)}
+    )
     seq = F.col("seq")
     kind = seq % 3
     zero = F.lit(0)
@@ -305,19 +339,19 @@ def _static_lines(spark: SparkSession, sf_dir: str, group_id: Column) -> DataFra
     length = F.coalesce(F.col("length_m"), zero)
     type5 = F.concat(
         _bits(F.lit(5), 6), _bits(zero, 2), mmsi, _bits(zero, 2), _bits(F.col("imo"), 30),
-        _text_bits(F.col("callsign"), 7), _text_bits(F.upper("vessel_name"), 20), _bits(F.lit(70), 8),
+        F.col("call_bits"), F.col("name_bits"), _bits(F.lit(70), 8),
         _bits(length, 9), _bits(zero, 9), _bits(F.lit(4), 6), _bits(F.lit(5), 6), _bits(zero, 4), _bits(zero, 20),
-        _bits(F.lit(57), 8), _text_bits(F.col("destination"), 20), _bits(zero, 2),
+        _bits(F.lit(57), 8), F.col("port_bits"), _bits(zero, 2),
     )
     type24b = F.concat(
         _bits(F.lit(24), 6), _bits(zero, 2), mmsi, _bits(F.lit(1), 2), _bits(F.lit(36), 8), _bits(zero, 42),
-        _text_bits(F.col("callsign"), 7), _bits(length, 9), _bits(zero, 9), _bits(zero, 6), _bits(zero, 6),
+        F.col("call_bits"), _bits(length, 9), _bits(zero, 9), _bits(zero, 6), _bits(zero, 6),
         _bits(zero, 6),
     )
     type24a = F.concat(
-        _bits(F.lit(24), 6), _bits(zero, 2), mmsi, _bits(zero, 2), _text_bits(F.upper("vessel_name"), 20)
+        _bits(F.lit(24), 6), _bits(zero, 2), mmsi, _bits(zero, 2), F.col("name_bits")
     )
-    body = F.when(kind == 0, armour(type5)).when(kind == 1, armour(type24b)).otherwise(armour(type24a))
+    rows = rows.withColumn("bits", F.when(kind == 0, type5).when(kind == 1, type24b).otherwise(type24a))
     group = group_id.cast("string")
     # Seconds throughout: as milliseconds these years would lie below the limit that tells them apart.
     tag = _tag(F.col("last_seen"), F.lit(0))
@@ -329,4 +363,4 @@ def _static_lines(spark: SparkSession, sf_dir: str, group_id: Column) -> DataFra
 
     whole = F.concat(tag, F.lit("!AIVDM,1,1,,B,"), F.col("body"), F.lit(",0*00"))
     lines = F.when(kind == 0, F.array(part(1, 1, 56), part(2, 57, 100))).otherwise(F.array(whole))
-    return rows.withColumn("body", body).select("seq", F.posexplode(lines).alias("part", "value"))
+    return rows.withColumn("body", armour("bits", 424)).select("seq", F.posexplode(lines).alias("part", "value"))

@@ -20,6 +20,9 @@ TAG_EPOCH = r"c:(\d+)"
 # Fixed value: larger epochs are milliseconds.
 MILLIS_ABOVE = 1_000_000_000_000
 
+# Sentences that belong to a message of several.
+IS_PART = "total <> 1 and total >= 0 and num >= 1"
+
 POSITION_TYPES_A = [1, 2, 3]
 POSITION_TYPE_B = 18
 STATIC_TYPE_A = 5
@@ -78,18 +81,19 @@ def _fields(lines: DataFrame, fallback: str | None) -> DataFrame:
     default = X.at(fallback) if fallback else F.lit(None).cast("timestamp")
 
     def field(i: int) -> Column:
-        return F.split_part(sentence, F.lit(","), F.lit(i + 1))
+        return F.coalesce(F.get("_fields", F.lit(i)), F.lit(""))
 
     fields = {
-        "commas": F.length(sentence) - F.length(F.replace(sentence, F.lit(","), F.lit(""))),
+        "commas": F.size("_fields") - 1,
         "total": field(1).try_cast("int"),
         "num": field(2).try_cast("int"),
         "key": F.concat_ws("|", F.trim(field(4)), F.trim(field(3))),
         "payload": F.trim(field(5)),
         "ts": F.coalesce(at, default),
     }
+    split = {"_fields": F.split(sentence, ","), "_tags": F.col("_tags")}
     read = lines.filter(F.col("value").contains(SENTENCE)).select("seq", X.strip(F.col("value")).alias("_line"))
-    return _once(_once(read, parts).filter(sentence.startswith(SENTENCE)), fields)
+    return _once(_once(_once(read, parts).filter(sentence.startswith(SENTENCE)), split), fields)
 
 
 def _once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -114,16 +118,18 @@ def assemble(sentences: DataFrame, file: Column | None = None, block: Column | N
     # The typed sentences are staged, so that the log is read once; whole messages and parts come from this copy.
     sentences = stage(sentences.filter("total >= 0"), "sentences")
     single = sentences.filter("total = 1").select("payload", "ts", "seq")
-    multi = sentences.filter("total <> 1 and total >= 0 and num >= 1").withColumns(
-        {
-            "_file": F.col("seq.file") if file is None else file,
-            "_block": F.col("seq.block") if block is None else block,
-        }
-    )
-    parts = stage(multi, "parts")
+    parts = stage(sentences.filter(IS_PART), "parts")
+    return single.unionByName(assemble_parts(parts, file, block))
+
+
+def assemble_parts(parts: DataFrame, file: Column | None = None, block: Column | None = None) -> DataFrame:
+    """The messages of several sentences, from staged ``IS_PART`` sentences."""
     if parts.isEmpty():
-        return single
-    grouped = _join_to_group(parts).filter("num <= _group.total")
+        return parts.select("payload", "ts", "seq")
+    keys = {"_file": F.col("seq.file") if file is None else file, "_block": F.col("seq.block") if block is None else block}
+    # Three steps read the parts with their groups: staged, none of them repeats the windows.
+    grouped = _join_to_group(parts.withColumns(keys)).filter("num <= _group.total")
+    grouped = stage(grouped.select("_file", "key", "_group", "num", "total", "payload", "seq", "ts"), "grouped")
     group = ["_file", "key", "_group"]
 
     # Each step is a combining aggregation, so repeats of a part without end do no harm.
@@ -144,9 +150,7 @@ def assemble(sentences: DataFrame, file: Column | None = None, block: Column | N
     )
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("num", "payload"))), lambda p: p["payload"])
     multi = newest.groupBy(*group).agg(F.array_join(in_order, "").alias("payload"), F.first("_done").alias("_done"))
-    return single.unionByName(
-        multi.select("payload", F.coalesce("_group.ts", "_done.ts").alias("ts"), F.col("_done.seq").alias("seq"))
-    )
+    return multi.select("payload", F.coalesce("_group.ts", "_done.ts").alias("ts"), F.col("_done.seq").alias("seq"))
 
 
 def open_parts(sentences: DataFrame, file: Column) -> DataFrame:
@@ -154,7 +158,7 @@ def open_parts(sentences: DataFrame, file: Column) -> DataFrame:
 
     Of a part only the newest version stays. ``assemble`` gives the same for these and the sentences that follow as for all.
     """
-    parts = sentences.filter("total <> 1 and total >= 0 and num >= 1").withColumn("_file", file)
+    parts = sentences.filter(IS_PART).withColumn("_file", file)
     start = F.when(F.col("num") == 1, F.struct("seq", "total"))
     last = parts.groupBy("_file", "key").agg(F.max(start).alias("_group")).filter("_group is not null")
     closing = F.when(F.col("num") == F.col("total"), F.col("seq"))
@@ -257,32 +261,35 @@ def decode_static(messages: DataFrame) -> DataFrame:
                 chain = chain.when(test, value)
         return chain
 
-    def size(from_bow: int, from_port: int) -> tuple[Column, Column]:
-        length = X.dimension_sum(P.unsigned(from_bow, 9), P.unsigned(from_bow + 9, 9))
-        beam = X.dimension_sum(P.unsigned(from_port, 6), P.unsigned(from_port + 6, 6))
-        return length, beam
-
-    length_a, beam_a = size(240, 258)
-    length_b, beam_b = size(132, 150)
-    imo = P.unsigned(40, 30)
     rows = _messages_of(messages, [STATIC_TYPE_A, STATIC_TYPE_B], 40)
-    typed = rows.withColumn(
-        "ship_type", pick(a=P.unsigned(232, 8), rest=P.unsigned(40, 8)).cast("int")
+    # Fields that are used more than once are read in a selection of their own.
+    read = rows.withColumns(
+        {
+            "ship_type": pick(a=P.unsigned(232, 8), rest=P.unsigned(40, 8)).cast("int"),
+            "_imo": pick(a=P.unsigned(40, 30)),
+            "_name": pick(a=P.text(112, 20), name=P.text(40, 20)),
+            "_call": pick(a=P.text(70, 7), rest=P.text(90, 7)),
+            "_port": pick(a=P.text(302, 20)),
+            "_bow": pick(a=P.unsigned(240, 9), rest=P.unsigned(132, 9)),
+            "_stern": pick(a=P.unsigned(249, 9), rest=P.unsigned(141, 9)),
+            "_left": pick(a=P.unsigned(258, 6), rest=P.unsigned(150, 6)),
+            "_right": pick(a=P.unsigned(264, 6), rest=P.unsigned(156, 6)),
+        }
     )
     values = {
         "mmsi": P.unsigned(8, 30),
-        "imo": pick(a=F.when(imo > 0, imo)),
-        "vessel_name": X.trim_padding(pick(a=P.text(112, 20), name=P.text(40, 20))),
-        "callsign": X.trim_padding(pick(a=P.text(70, 7), rest=P.text(90, 7))),
+        "imo": F.when(F.col("_imo") > 0, F.col("_imo")),
+        "vessel_name": X.trim_padding(F.col("_name")),
+        "callsign": X.trim_padding(F.col("_call")),
         "ship_type": F.col("ship_type"),
         "ship_type_desc": F.when(
             F.col("ship_type").isNotNull(), X.ship_category(F.col("ship_type"), F.lit(None).cast("string"))
         ),
-        "length_m": pick(a=length_a, rest=length_b),
-        "beam_m": pick(a=beam_a, rest=beam_b),
+        "length_m": X.dimension_sum(F.col("_bow"), F.col("_stern")),
+        "beam_m": X.dimension_sum(F.col("_left"), F.col("_right")),
         "draught_m": pick(a=(P.unsigned(294, 8) / 10.0).cast("float")),
-        "destination": X.trim_padding(pick(a=P.text(302, 20))),
+        "destination": X.trim_padding(F.col("_port")),
         "last_seen": F.col("ts"),
         "seq": F.col("seq"),
     }
-    return typed.select(*[values[c].alias(c) for c in [*S.VESSEL_COLS, "seq"]])
+    return read.select(*[values[c].alias(c) for c in [*S.VESSEL_COLS, "seq"]])

@@ -44,9 +44,9 @@ def place_in_log() -> Column:
 def messages_of_batch(sentences: DataFrame, before: DataFrame | None, log: str | None) -> tuple[DataFrame, DataFrame]:
     """(whole messages, parts of messages still open) of sentences that follow the open parts ``before``."""
     single = sentences.filter("total = 1").select("payload", "ts", "seq")
-    parts = sentences.filter("total <> 1")
+    parts = sentences.filter(N.IS_PART)
     parts = stage(parts if before is None else before.unionByName(parts), "parts")
-    return single.unionByName(N.assemble(parts, log_name(log), place_in_log())), N.open_parts(parts, log_name(log))
+    return single.unionByName(N.assemble_parts(parts, log_name(log), place_in_log())), N.open_parts(parts, log_name(log))
 
 
 def _reader(checkpoint: str, log: str | None, fallback: str | None) -> Callable[[DataFrame, int], DataFrame]:
