@@ -127,9 +127,7 @@ def assemble_parts(parts: DataFrame, file: Column | None = None, block: Column |
     if parts.isEmpty():
         return parts.select("payload", "ts", "seq")
     keys = {"_file": F.col("seq.file") if file is None else file, "_block": F.col("seq.block") if block is None else block}
-    # Three steps read the parts with their groups: staged, none of them repeats the windows.
     grouped = _join_to_group(parts.withColumns(keys)).filter("num <= _group.total")
-    grouped = stage(grouped.select("_file", "key", "_group", "num", "total", "payload", "seq", "ts"), "grouped")
     group = ["_file", "key", "_group"]
 
     # Each step is a combining aggregation, so repeats of a part without end do no harm.
