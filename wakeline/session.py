@@ -17,8 +17,11 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Vessel tables of some million rows may be broadcast, but only when Spark knows them to be that small.
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # A broadcast table is gathered and hashed in the driver's heap, at several times its size, and joins broadcast at once.
+    "spark.sql.autoBroadcastJoinThreshold": "8m",
+    # Column files hold far more rows than bytes tell (a key counted up, one path in all rows): only a small file is known
+    # to hold a small table. Larger ones are broadcast if their rows, measured in a shuffle, prove to be few.
+    "spark.sql.sources.fileCompressionFactor": "16",
     # Folding sequences costs far more per byte than reading, so even small partitions deserve a task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.parquet.filterPushdown": "true",
