@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline.plans import rendering as R
+from wakeline.session import configure
+from wakeline.sources import tables as TB
 
 
 def final_plan(df):
@@ -32,3 +34,27 @@ def test_names_of_many_vessels_are_not_gathered_in_the_driver(spark, tmp_path, c
     assert ("BroadcastHashJoin" in final_plan(rows)) is gathered
     named = rows.filter("mmsi < 219000400 and mmsi >= 219000000")
     assert named.count() > 0 and named.filter("vessel_name is null").isEmpty()
+
+
+def test_seconds_of_the_store_are_not_gathered_in_the_driver(spark, tmp_path):
+    store, no = TB.Store(str(tmp_path / "store")), F.col("id")
+    cells = {"lat": "55.5D", "lon": "10.5D", "sog": "1F", "cog": "2F", "heading": "3", "nav_status": "0", "rot": "0F", "msg_type": "1"}
+    rows = spark.range(600_000).select(
+        (219_000_000 + no % 50).alias("mmsi"), F.timestamp_seconds(1_704_070_800 + F.floor(no / 50)).alias("ts"),
+        *[F.expr(value).alias(name) for name, value in cells.items()],
+    )
+    TB.write_positions(rows, store)
+    # Fifty seconds that are there, and the same of other vessels.
+    known = rows.filter(F.col("ts") == F.timestamp_seconds(F.lit(1_704_070_800)))
+    arrived = known.unionByName(known.withColumn("mmsi", F.col("mmsi") + 1000))
+    fresh = TB.not_stored(arrived.withColumn("date", F.to_date("ts")), store)
+    assert "BroadcastHashJoin" not in final_plan(fresh)
+    assert sorted(r.mmsi for r in fresh.select("mmsi").collect()) == [219_001_000 + i for i in range(50)]
+
+
+def test_a_limit_of_the_session_stays_with_its_estimates(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    configure(other)
+    assert other.conf.get("spark.sql.autoBroadcastJoinThreshold") == "1m"
+    assert "spark.sql.sources.fileCompressionFactor" not in other.conf.getAll

@@ -17,17 +17,22 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A broadcast table is gathered and hashed in the driver's heap, at several times its size, and joins broadcast at once.
-    "spark.sql.autoBroadcastJoinThreshold": "8m",
-    # Column files hold far more rows than bytes tell (a key counted up, one path in all rows): only a small file is known
-    # to hold a small table. Larger ones are broadcast if their rows, measured in a shuffle, prove to be few.
-    "spark.sql.sources.fileCompressionFactor": "16",
     # Folding sequences costs far more per byte than reading, so even small partitions deserve a task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# What may be broadcast; left alone where the session has a limit of its own.
+BROADCAST_LIMIT = "spark.sql.autoBroadcastJoinThreshold"
+BROADCASTS = {
+    # A broadcast table is gathered and hashed in the driver's heap, at several times its size, and joins broadcast at once.
+    BROADCAST_LIMIT: "8m",
+    # Column files hold far more rows than bytes tell (a key counted up, one path in all rows): only a tiny file is known
+    # to hold a small table. Others are broadcast if their rows, measured in a shuffle, prove to be few.
+    "spark.sql.sources.fileCompressionFactor": "256",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options every job here relies on.
@@ -36,7 +41,7 @@ def configure(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     given = spark.conf.getAll
-    for key, value in DEFAULTS.items():
+    for key, value in (DEFAULTS if BROADCAST_LIMIT in given else DEFAULTS | BROADCASTS).items():
         if key not in given:
             spark.conf.set(key, value)
     return spark

@@ -172,16 +172,20 @@ def add_positions(positions: DataFrame, store: Store, cell_deg: float | None = N
     """
     spark = positions.sparkSession
     rows = stage(_storable(positions, store, cell_deg), "arrived")
-    second = epoch_second(F.col("ts")).alias("_second")
     if table_exists(spark, store.positions):
-        dates = [r.date for r in rows.select("date").distinct().collect()]  # as many as days, not rows
-        there = read_positions(spark, store).filter(F.col("date").isin(dates)).select("mmsi", second)
-        fresh = rows.withColumn("_second", second).join(there, ["mmsi", "_second"], "left_anti").drop("_second")
-        rows = stage(fresh, "fresh")
+        rows = stage(not_stored(rows, store), "fresh")
     _write(rows, store.positions, POSITION_PARTITIONS, ["mmsi", "ts"], "append")
     return rows
 
 
+def not_stored(rows: DataFrame, store: Store) -> DataFrame:
+    """The rows (with ``date``) whose vessel and second the stored positions lack, in all cells of the dates that occur."""
+    dates = [r.date for r in rows.select("date").distinct().collect()]  # as many as days, not rows
+    second = epoch_second(F.col("ts")).alias("_second")
+    there = read_positions(rows.sparkSession, store).filter(F.col("date").isin(dates)).select("mmsi", second)
+    return rows.withColumn("_second", second).join(there, ["mmsi", "_second"], "left_anti").drop("_second")
+
+
 def write_tracks(tracks: DataFrame, store: Store, mode: str = "overwrite") -> int:
     """``overwrite`` replaces every month the tracks start in."""
     times = {c: to_millis(F.col(c)) for c in ("start_time", "end_time")}
