@@ -29,14 +29,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from wakeline import schema as S
-from wakeline.functions.scalars import MICROS, epoch_second, from_micros, micros, to_millis
+from wakeline.functions.scalars import MICROS, from_micros, micros, to_millis
 from wakeline.functions.spatial import haversine_nm
 from wakeline.operators.tracks import track_points as points_of
 from wakeline.operators.tracks import tracks_from_points
 from wakeline.operators.validate import accepted
 from wakeline.session import configure, stage
 from wakeline.sources import csv as C
-from wakeline.sources.tables import Store, add_positions, read_positions, table_exists
+from wakeline.sources.tables import Store, add_positions, not_stored, read_positions, table_exists
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PAYLOAD = [f for f in S.POSITIONS if f.name not in ("mmsi", "ts")]
@@ -188,11 +188,9 @@ def _late_vessels(out: DataFrame, store: Store, path: str, number: int) -> DataF
     """
     spark = out.sparkSession
     if not table_exists(spark, f"{path}/batch={number}"):
-        late = _positions(out, ["late"]).withColumn("_second", epoch_second(F.col("ts"))).withColumn("date", F.to_date("ts"))
+        late = _positions(out, ["late"]).withColumn("date", F.to_date("ts"))
         if table_exists(spark, store.positions):
-            dates = [r.date for r in late.select("date").distinct().collect()]  # as many as days
-            there = read_positions(spark, store).where(F.col("date").isin(dates)).select("mmsi", epoch_second(F.col("ts")).alias("_second"))
-            late = late.join(there, ["mmsi", "_second"], "left_anti")
+            late = not_stored(late, store)
         _write(late.select("mmsi").distinct(), path, number)
     return spark.read.schema("mmsi long, batch long").parquet(path).where(F.col("batch") <= number).select("mmsi").distinct()
 
