@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline.plans import rendering as R
-from wakeline.session import configure
+from wakeline.session import configure, stage
+from wakeline.sources import sentences as N
 from wakeline.sources import tables as TB
 
 
@@ -52,6 +53,19 @@ def test_seconds_of_the_store_are_not_gathered_in_the_driver(spark, tmp_path):
     assert sorted(r.mmsi for r in fresh.select("mmsi").collect()) == [219_001_000 + i for i in range(50)]
 
 
+def test_open_parts_are_not_gathered_in_the_driver(spark):
+    at = F.timestamp_seconds(F.lit(1_704_070_800))
+    file = F.lit("file:/landing/" + "a" * 200)
+    parts = spark.range(60_000).select(
+        F.lit(2).alias("total"), F.lit(1).alias("num"), F.concat(F.lit("A|s"), F.col("id").cast("string")).alias("key"),
+        F.lit("payload").alias("payload"), at.alias("ts"),
+        F.struct(at.alias("at"), file.alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("id").alias("row")).alias("seq"),
+    )
+    still_open = N.open_parts(stage(parts, "parts"), F.col("seq.file"))
+    assert "BroadcastHashJoin" not in final_plan(still_open)
+    assert still_open.count() == 60_000
+
+
 def test_a_limit_of_the_session_stays_with_its_estimates(spark):
     other = spark.newSession()
     other.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
